@@ -19,7 +19,8 @@ _MASK = np.ones(256, dtype=bool)
 _MASK[[9, 10, 11, 12, 13, 32]] = False
 _rng = np.random.default_rng(20240131)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[~_MASK] = 0
+#: Bytes of alphanumeric words: letters, digits, and all bytes of characters beyond ASCII.
+ALPHANUMERIC = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
 
@@ -82,10 +83,11 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """Words of a chunk of documents: byte offsets, 64-bit hashes, and each document's range of words."""
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], mask: np.ndarray = _MASK):
         self.joined = b"\n".join(docs).lower() + b"\n"
         self.buf = np.frombuffer(self.joined, dtype=np.uint8)
-        inside = _MASK[self.buf]
+        inside = mask[self.buf]
+        self.inside = inside
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         offsets = np.zeros(len(docs) + 1, dtype=np.int64)
@@ -99,7 +101,7 @@ class Words:
         lead = self.starts[0]
         spans = np.diff(self.starts, append=len(self.buf))
         place = np.arange(lead, len(self.buf)) - np.repeat(self.starts, spans)
-        terms = _BYTE[self.buf[lead:]] * _powers(int(spans.max()))[place]
+        terms = _BYTE[self.buf[lead:]] * self.inside[lead:] * _powers(int(spans.max()))[place]
         sums = np.add.reduceat(terms, self.starts - lead)
         return mix(sums + (self.ends - self.starts).astype(np.uint64) * _STEP)
 

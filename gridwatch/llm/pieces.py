@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -45,30 +46,28 @@ class Pieces:
             return text.split(" ")
         return [w[1:] for w in _MARKED.findall(MARK + text.replace(" ", MARK))]
 
-    def _segment(self, words: list[str]) -> list[tuple[int, list[int], bytes, str]]:
+    def _segment(self, words: list[str]) -> list[tuple[int, bytes, bytes, str]]:
         ids = self.model.encode(words, num_threads=1)
         ids = [i if w else [self.lone] for i, w in zip(ids, words, strict=True)]
         texts = self.model.decode(ids, num_threads=1)
-        return [(len(i), i, ",".join(map(str, i)).encode(), self._tail(t, w)) for i, t, w in zip(ids, texts, words, strict=True)]
+        return list(map(_entry, ids, texts))
 
-    def _tail(self, decoded: str, word: str) -> str:
-        return " " + decoded
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Ids and decoded text of each text."""
-        return [([i for e in row for i in e[1]], "".join(e[3] for e in row)[1:]) for row in self.rows(texts)]
-
-    def rows(self, texts: list[str]) -> list[list[tuple[int, list[int], bytes, str]]]:
+    def rows(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes, str]]]:
         """Each text's entries of the table, in order."""
         if not self.independent:
             ids = self.model.encode(texts, num_threads=1)
-            return [[(len(i), i, ",".join(map(str, i)).encode(), " " + self.model.decode(i))] if i else [] for i in ids]
+            return [[_entry(i, self.model.decode(i))] if i else [] for i in ids]
         parts = [self.words(t) if t else [] for t in texts]
         self.table.cover(set().union(*parts))
         get = self.table.__getitem__
         return [list(map(get, p)) for p in parts]
 
 
+def _entry(ids: list[int], decoded: str) -> tuple[int, bytes, bytes, str]:
+    """Number of ids, the ids as 32-bit integers and as text, and the decoded text after a space."""
+    return len(ids), np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)).encode(), " " + decoded
+
+
 def marked_words_are_independent(model) -> bool:
     """No piece has a marker after another character, and the model leaves characters and spaces alone."""
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
@@ -87,8 +86,11 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for ids, texts in _parts(batches):
-            out = p.encode(texts)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.string())], names=["doc_id", "ids", "decoded"])
+            rows = p.rows(texts)
+            every = [b"".join([e[1] for e in r]) for r in rows]
+            ends = np.cumsum([0, *map(len, every)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(["".join([e[3] for e in r])[1:] for r in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 

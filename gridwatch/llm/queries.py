@@ -1,4 +1,4 @@
-"""The corpus operators' queries for the driver."""
+"""The corpus operators' queries for the driver. None has an SQL twin but where ``oracle_sql`` says so."""
 
 from __future__ import annotations
 
@@ -7,29 +7,71 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import scratch_path, table
+from .context_mixing import lm_scores
+from .decontaminate import contaminated
 from .id_files import read_ids, write_ids
+from .language_id import language_of
+from .ngram_join import jaccard_components
 from .pieces import piece_digests
+from .quotations import reply_ordered
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
+from .vectors import near_duplicate_vectors
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "id-files")
     write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
     return read_ids(spark, out)
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pieces, op7_token_counts, op9_id_files)}
+    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
