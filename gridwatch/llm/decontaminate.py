@@ -112,7 +112,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, agreement:
             for s in chunks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
                 texts = batch.column(1).slice(s.start, s.stop - s.start).to_pylist()
                 w = Words(as_bytes(texts), ALPHANUMERIC)
-                found_at, found = [], []
+                found_at, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
                 for m in kinds:
                     h = _seeds(w.hashes, m)
                     x, y = _bits(h, bits)
