@@ -1,9 +1,9 @@
 """Token-ID files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Writing. A first pass counts every id over all documents; ids are ranked by falling count (ties: smaller
-id first), so frequent ids get small ranks. The counts are one row for each id of the vocabulary, which
-bounds the rank table that is broadcast. A second pass encodes each document, adds the end id, and writes
-its ranks as groups of four: a control byte with four two-bit lengths less one, kept apart from the data
+Writing. A first pass encodes each document, adds the end id and keeps the ids in the shared scratch folder;
+a second counts every id over all documents. Ids are ranked by falling count (ties: smaller id first), so
+frequent ids get small ranks. The counts are one row for each id of the vocabulary, which bounds the rank
+table that is broadcast. A third pass writes the documents' ranks as groups of four: a control byte with four two-bit lengths less one, kept apart from the data
 bytes (little-endian, 1 to 4 of them). Documents are range-partitioned and sorted by doc_id; a file holds
 ``doc_id, n_tokens, control, data`` as Parquet rows, under ``part=<n>`` in ascending doc_id order, and the
 vocabulary by rank stands beside them.
@@ -19,6 +19,7 @@ their ids' bytes. An empty table writes no rows and reads back none; other colum
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,24 +65,65 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. White space is dropped and no piece runs across it, so each distinct word between
-    spaces and line ends is encoded once."""
+    spaces and line ends is encoded once. In texts of Latin-1 characters, which lower-casing leaves composed
+    and which the library would lower-case the same way, words are taken in lower case and full stops and
+    commas that touch no other mark stand on their own, as the pre-tokenizer cuts there too."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
         self.size = t.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.table = UnitTable(lambda u: [np.array(e.ids, dtype=self.kind).tobytes() for e in t.encode_batch_fast(u, add_special_tokens=False)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        self.ends = np.zeros(self.size, dtype=bool)
+        for token, i in t.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
+        self.table = UnitTable(self._encode, 500_000)
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """Words of letters many at a time, told apart by the pieces that end a word; the others one by one."""
+        out: dict[str, bytes] = {}
+        plain = [u for u in units if u.isalpha() and _latin(u)]
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(cuts) == len(group):
+                b, at = ids.tobytes(), [0, *cuts.tolist()]
+                out.update(zip(group, (b[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
+        rest = [u for u in units if u not in out]
+        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[u] = np.array(e.ids, dtype=self.kind).tobytes()
+        return [out[u] for u in units]
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if _latin(text):
+            text = text.lower()
+            if not _TOUCHING.search(text):
+                text = text.replace(".", " . ").replace(",", " , ")
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [self.words(t) for t in texts]
         self.table.cover(set().union(*parts))
         get = self.table.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), dtype=self.kind) for p in parts]
+        return [b"".join(map(get, p)) for p in parts]
+
+
+#: A full stop or comma next to another mark, or in a special string.
+_TOUCHING = re.compile(r"[.,][^\sa-z0-9à-öø-ÿ]|[^\sa-z0-9à-öø-ÿ][.,]|<\|")
+
+
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1")) or True
+    except UnicodeEncodeError:
+        return False
 
 
 @lru_cache(maxsize=2)
@@ -96,47 +138,58 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             yield batch.column(0).slice(s.start, n), [t or "" for t in batch.column(1).slice(s.start, n).to_pylist()]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``id, n`` over all documents, end ids included."""
+def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, ids`` (little-endian, two or four bytes each), the end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        seen = np.zeros(max(e.size, end_id + 1), dtype=np.int64)
-        for _, texts in _parts(batches):
-            every = e.encode(texts)
-            seen += np.bincount(np.concatenate(every), minlength=len(seen))
-            seen[end_id] += len(every)
+        end = e.kind.type(end_id).tobytes()
+        for ids, texts in _parts(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x + end for x in e.encode(texts)], pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def id_counts(encoded: DataFrame, kind: np.dtype, size: int) -> DataFrame:
+    """``id, n`` over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for s in chunks(pc.binary_length(b.column(0)).to_pylist()):
+                joined = b"".join(b.column(0).slice(s.start, s.stop - s.start).to_pylist())
+                seen += np.bincount(np.frombuffer(joined, dtype=kind), minlength=size)
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(seen[ids])], names=["id", "n"])
 
-    texts = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
-    return texts.mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | None = None) -> None:
     """Write the ids of ``docs`` under ``out``: ``ids/part=<n>`` and ``vocabulary`` (rank, id)."""
     spark = docs.sparkSession
-    counts = id_counts(docs, path, end_id).orderBy(F.desc("n"), "id").toPandas()  # a row for each id of the vocabulary at most
+    kind, size = encoder(path).kind, max(encoder(path).size, end_id + 1)
+    encoded = stored(encode_ids(docs, path, end_id), "ids")
+    counts = id_counts(encoded, kind, size).orderBy(F.desc("n"), "id").toPandas()  # a row for each id of the vocabulary at most
     by_rank = counts["id"].to_numpy(dtype=np.int64)
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1).write.parquet(f"{out}/vocabulary")
-    ranks = np.zeros(int(by_rank.max(initial=end_id)) + 1, dtype=np.uint32)
+    ranks = np.zeros(size, dtype=np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shared = spark.sparkContext.broadcast((ranks, np.array(_bounds(docs, n), dtype=np.int64)))
+    shared = spark.sparkContext.broadcast((ranks, np.array(_bounds(encoded, n), dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, (rank, bounds) = encoder(path), shared.value
-        for ids, texts in _parts(batches):
-            every = e.encode(texts)
-            packed = [pack(rank[np.append(x, e.kind.type(end_id))]) for x in every]
-            part = np.searchsorted(bounds, pc.fill_null(ids, -(1 << 63)).to_numpy())
+        rank, bounds = shared.value
+        for b in batches:
+            every = [np.frombuffer(x, dtype=kind) for x in b.column(1).to_pylist()]
+            packed = [pack(rank[x]) for x in every]
+            part = np.searchsorted(bounds, pc.fill_null(b.column(0), -(1 << 63)).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(x) + 1 for x in every], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()), pa.array(part, pa.int32())],
+                [b.column(0), pa.array(list(map(len, every)), pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()), pa.array(part, pa.int32())],
                 names=["doc_id", "n_tokens", "control", "data", "part"],
             )
 
-    texts = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
-    rows = texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, control binary, data binary, part int")
+    rows = encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, control binary, data binary, part int")
     rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "data")
     rows.write.partitionBy("part").option("compression", "none").parquet(f"{out}/ids")
 

@@ -96,7 +96,7 @@ def test_word_probabilities_sum_to_one():
     bits = 16
     size = sum(1 << s for s in _sizes(bits))
     counts = np.random.default_rng(0).integers(0, 50, (-(-size // 4096) * 4096, 2)).astype(np.float32)
-    m = Mixer(counts, bits, [(b"abc", 3), (b"de", 1)])
+    m = Mixer(counts, bits, [(b"abc", 3, 5, 4, 9), (b"de", 1, 1, 1, 9)], 12)
     every = [bytes([b]) for b in range(256)]
     one = np.array([10 ** sum(_first_byte(m, Events([w + b"q"], bits))) for w in every])
     assert one.sum() == pytest.approx(1, abs=1e-6)

@@ -16,7 +16,7 @@ from gridwatch.llm.pieces import encode_pieces, piece_digests, pieces
 from gridwatch.llm.token_counts import Counter, token_counts
 
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", " \n a\t\tb \r\n c", "▁x ▁ y▁", "don't  it's 12 345 x　y", "<|endoftext|> a<|endoftext|> b <|endoftext|>",
-       "<s> x</s>", "é ́a Å ﬁ", "\x00\x1c a\x1fb", "日本語 テキスト 😀😀 x", "ΑΣ Σ ΣΑ", "x" * 3000, "a " * 900, "-" * 500 + " y", "it 's we 'll"]
+       "<s> x</s>", "é ́a Å ﬁ", "\x00\x1c a\x1fb", "日本語 テキスト 😀😀 x", "ΑΣ Σ ΣΑ", "x" * 3000, "a " * 900, "-" * 500 + " y", "it 's we 'll", "A.b, C.D.. E,'x 3.14,15 Ünï, ÀB.", "Word. Word, WORD. wörd,x .y", "a.<|endoftext|>, b", "\x85a.\xa0b, İ. ſ, µ. ª,"]
 
 
 def texts():
