@@ -9,12 +9,13 @@ a whole:
   hash. A partner must share one of a row's first ``n - ceil(percent * n / 100) + 1`` columns, so only
   those entries are multiplied (size-derived bound), and a cell is dropped when the set sizes, or what is
   left after the shared column in both rows, can't reach the overlap needed.
-* Blocks of the product follow the columns. In a round, each column's entries meet one pivot entry of
-  that column (linear in the entries), surviving cells get their exact overlap accumulated, and linked
-  rows become components. Further rounds take other pivots, only in columns that still hold several
-  components. The last round multiplies what is left: all cells of those columns between rows of
-  different components. A pair with enough overlap shares an early column, so it is in one component or
-  gets verified there; no link between components can be missed, and no group is expanded into pairs.
+* Blocks of the product follow the columns. Columns of up to ``SMALL_COLUMN`` entries are multiplied as they
+  are. In a larger column each entry first meets one pivot entry (linear in the entries). Surviving cells get
+  their exact overlap accumulated, and linked rows become components. Further rounds take other pivots, only in
+  large columns that still hold several components; the last round multiplies what is left of those: all cells
+  between rows of different components. A pair with enough overlap shares an early column, so it is in one
+  component or gets verified there; no link between components can be missed, and no large group is
+  expanded into pairs.
 
 Null or empty texts have an empty set and link with nothing, as do rows with a null doc_id; fewer words
 than ``k`` are one shingle. Rows that repeat a doc_id are one document with links of each of its texts.
@@ -38,6 +39,8 @@ from .graph import components
 
 #: Columns that are ordered last: at most so many, as each holds more than its share of all entries.
 FREQUENT_COLUMNS = 1 << 18
+#: Entries of a column that is multiplied without pivots.
+SMALL_COLUMN = 24
 #: Documents whose texts are fetched by a broadcast of their ids; beyond it by a shuffled join.
 BROADCAST_IDS = 200_000
 
@@ -111,13 +114,28 @@ def _reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {need}"
 
 
-def _round(entries: DataFrame, percent: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Columns with several components, each with a pivot entry; and the cells (a, b) of rows with their pivots."""
+def _shared_columns(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """The entries ``col, doc, n, pos`` of columns with several documents, and how many (``m``) the column has."""
+    entries = _entries(docs, k, percent, frequent)
+    several = entries.groupBy("col").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("m")).where("low <> high").select("col", "m")
+    return stored(entries.join(stored(several, "columns"), "col"), "shared-columns")
+
+
+def _small_cells(shared: DataFrame, percent: int) -> DataFrame:
+    """All cells of the small columns."""
+    left = shared.where(F.col("m") <= SMALL_COLUMN).select("col", "doc", "n", "pos")
+    right = left.select("col", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos")))
+    cells = left.join(right, "col").where("doc < p_doc").where(_reachable("n", "pos", "p_n", "p_pos", percent))
+    return cells.select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
+
+
+def _round(entries: DataFrame, salt: int) -> DataFrame:
+    """Entries of columns with several components (``comp``), each with a pivot entry of its column."""
     pivots = entries.groupBy("col").agg(
         F.min(F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "doc", "n", "pos", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
     pivots = stored(pivots.where("low <> high").select("col", F.col("p.doc").alias("p_doc"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), F.col("p.comp").alias("p_comp")), "pivots")
-    return pivots, entries.join(pivots, "col")
+    return stored(entries.join(pivots, "col"), "mixed")
 
 
 def _cells(met: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +178,7 @@ def _verified(docs: DataFrame, classes: DataFrame, cells: DataFrame, k: int, per
     return both.select("a", "b", "text_a", "text_b").where("text_a is not null and text_b is not null").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links, itself included)."""
     sets = stored(shingle_sets(docs, k), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
@@ -174,25 +192,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rou
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(ties.select("a").union(ties.select("b")).distinct(), "a", "left_semi").union(ties)
 
-    entries = _entries(docs, k, percent, frequent).withColumn("comp", F.col("doc"))
-    pivots, met = _round(entries, percent, 0)
-    met = stored(met.drop("comp", "p_comp"), "met")
-    cells = _cells(met.withColumn("comp", F.col("doc")).withColumn("p_comp", F.col("p_doc")), percent)
+    shared = _shared_columns(docs, k, percent, frequent)
+    large = shared.where(F.col("m") > SMALL_COLUMN).select("col", "doc", "n", "pos")
+    met = _round(large.withColumn("comp", F.col("doc")), 0)
+    cells = _small_cells(shared, percent).union(_cells(met, percent))
     links = stored(links.union(_verified(docs, classes, cells, k, percent)), "links")
     labels = components(links)
     entries = met.select("col", "doc", "n", "pos")
     for salt in range(1, pivot_rounds + 1):
-        own = stored(_labelled(classes, labels).select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
-        now = entries.join(own.withColumnRenamed("doc_id", "doc"), "doc")
-        last = salt == pivot_rounds
-        if not last:
-            pivots, again = _round(now, percent, salt)
-            entries = stored(again, "mixed")
-            cells = _cells(entries, percent)
-            entries = entries.select("col", "doc", "n", "pos")
+        own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
+        met = _round(entries.join(own.withColumnRenamed("doc_id", "doc"), "doc"), salt)
+        entries = met.select("col", "doc", "n", "pos")
+        if salt < pivot_rounds:
+            cells = _cells(met, percent)
         else:
-            mixed = now.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("col")
-            left = stored(now.join(stored(mixed, "mixed-cols"), "col"), "left")
+            left = met.select("col", "doc", "n", "pos", "comp")
             right = left.select("col", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos", "comp")))
             cells = left.join(right, "col").where("comp < p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent))
             cells = cells.select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()

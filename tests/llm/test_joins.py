@@ -47,6 +47,7 @@ def test_jaccard_in_blocks_and_rounds(spark, monkeypatch):
     """Frequent columns and the shuffled fetch of texts give the same; repeated and null ids don't break it."""
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT_COLUMNS", 50)
+    monkeypatch.setattr(ngram_join, "SMALL_COLUMN", 2)
     rows = _texts(9, 200)
     docs = spark.createDataFrame([*rows, (None, rows[20][1]), rows[15], rows[15]], "doc_id long, text string").repartition(3)
     got = jaccard_components(docs, pivot_rounds=1).collect()
