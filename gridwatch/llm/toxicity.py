@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word (a run of ASCII letters and digits or of bytes beyond ASCII, lower-cased) is the sum of the
-embeddings of three hashes: the whole word, its first four and its first five bytes. Filters over one, two
+embeddings of five hashes: the whole word and its first four to seven bytes. Filters over one, two
 and three consecutive words run over the whole text, each takes its maximum, and a logistic layer turns the
 maxima into a logit. Training starts from the smoothed log-odds of each hash bucket and goes on by Adam on
 minibatches, with gradients through the positions of the maxima only.
@@ -32,22 +32,23 @@ from .common import ALPHANUMERIC, Words, as_bytes, chunks, mix
 #: Labelled rows of each class that the fit may use, and words of a row.
 SAMPLE, SAMPLE_WORDS = 2500, 5000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
-_PREFIX = (4, 5)
+_PREFIX = (4, 5, 6, 7)
+KINDS = 1 + len(_PREFIX)
 
 
 def _features(words: Words) -> np.ndarray:
-    """Three buckets for each word of a chunk."""
-    out = np.empty((len(words.hashes), 3), dtype=np.int32)
+    """Five buckets for each word of a chunk."""
+    out = np.empty((len(words.hashes), KINDS), dtype=np.int32)
     shift = np.uint64(64 - 15)
     out[:, 0] = words.hashes >> shift
     buf = np.concatenate([words.buf, np.zeros(8, dtype=np.uint8)])
     long = words.ends - words.starts
     with np.errstate(over="ignore"):
-        for c, n in enumerate(_PREFIX, 1):
-            h = np.full(len(long), n, dtype=np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3) + np.where(long > j, buf[words.starts + j], 0).astype(np.uint64) + np.uint64(1)
-            out[:, c] = mix(h) >> shift
+        h = np.zeros(len(long), dtype=np.uint64)
+        for j in range(max(_PREFIX)):
+            h = h * np.uint64(0x100000001B3) + np.where(long > j, buf[words.starts + j], 0).astype(np.uint64) + np.uint64(1)
+            if j + 1 in _PREFIX:
+                out[:, 1 + _PREFIX.index(j + 1)] = mix(h) >> shift
     return out
 
 
@@ -76,7 +77,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> list[tuple[np.n
 
     got = rows.select("doc_id", "text", "toxic", "lang").mapInArrow(run, "doc_id bigint, toxic int, lang string, words binary").toPandas()
     got = got.sort_values(["doc_id", "words"], kind="stable").drop_duplicates("doc_id")
-    return [(np.frombuffer(w, dtype=np.int32).reshape(-1, 3), int(t), g) for w, t, g in zip(got["words"], got["toxic"], got["lang"], strict=True)]
+    return [(np.frombuffer(w, dtype=np.int32).reshape(-1, KINDS), int(t), g) for w, t, g in zip(got["words"], got["toxic"], got["lang"], strict=True)]
 
 
 class Model:
@@ -153,7 +154,7 @@ class Model:
                             inside = at < len(f)
                             push = back[k, on][:, None] * dense[k][j][:, on].T
                             buckets.append(f[at[inside]].ravel())
-                            pushes.append(np.repeat(push[inside], 3, axis=0))
+                            pushes.append(np.repeat(push[inside], KINDS, axis=0))
                 step += 1
                 for p, g, (m, v) in zip(dense, grads, state, strict=True):
                     m += 0.1 * (g - m)
@@ -191,7 +192,9 @@ class Model:
         group = np.zeros(n, dtype=np.int64)
         full = np.flatnonzero(np.diff(first))
         if len(full):
-            x = self.emb[f[:, 0]] + self.emb[f[:, 1]] + self.emb[f[:, 2]]
+            x = self.emb[f[:, 0]]
+            for c in range(1, KINDS):
+                x += self.emb[f[:, c]]
             at = first[:-1][full]
             ends = first[1:][full]
             for k, (w, g) in enumerate(zip(WIDTHS, self.filters, strict=True)):
