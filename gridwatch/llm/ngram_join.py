@@ -9,6 +9,8 @@ a whole:
   hash. A partner must share one of a row's first ``n - ceil(percent * n / 100) + 1`` columns, so only
   those entries are multiplied (size-derived bound), and a cell is dropped when the set sizes, or what is
   left after the shared column in both rows, can't reach the overlap needed.
+* A cell whose rows' parity bitmaps (each column flips one of at least ``PARITY_BITS`` bits) differ in more bits than
+  the sizes allow the sets to differ in is dropped before its texts are fetched: another exact bound.
 * Blocks of the product follow the columns. Columns of up to ``SMALL_COLUMN`` entries are multiplied as they
   are. In a larger column each entry first meets one pivot entry (linear in the entries). Surviving cells get
   their exact overlap accumulated, and linked rows become components. Further rounds take other pivots, only in
@@ -39,6 +41,8 @@ from .graph import components
 
 #: Columns that are ordered last: at most so many, as each holds more than its share of all entries.
 FREQUENT_COLUMNS = 1 << 18
+#: Bits of a row's parity bitmap, at least; longer rows take a power of two over their size.
+PARITY_BITS = 1024
 #: Entries of a column that is multiplied without pivots.
 SMALL_COLUMN = 24
 #: Documents whose texts are fetched by a broadcast of their ids; beyond it by a shuffled join.
@@ -57,8 +61,21 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of which slots an odd number of a row's columns falls into."""
+    bits = max(PARITY_BITS.bit_length() - 1, int(len(s) - 1).bit_length() if len(s) else 0)
+    slots = (s >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded: at most the size of the sets' difference."""
+    x, y = sorted((np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b)), key=len)
+    return int((x ^ (y.reshape(len(x), -1).sum(axis=1) & 1)).sum())
+
+
 def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, set_key``, and on some rows ``frequent``: columns that several sets of a chunk share."""
+    """``doc_id, n_shingles, set_key, parity``, and on some rows ``frequent``: columns that several sets of a chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
@@ -68,11 +85,11 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
             often = n >= max(8, len(sets) // 100)
             frequent = [[{"col": int(v), "n": int(c)} for v, c in zip(values[often].view(np.int64), n[often], strict=True)], *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(frequent, pa.list_(pa.struct({"col": pa.int64(), "n": pa.int64()})))],
-                names=["doc_id", "n_shingles", "set_key", "frequent"],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(list(map(parity, sets)), pa.binary()), pa.array(frequent, pa.list_(pa.struct({"col": pa.int64(), "n": pa.int64()})))],
+                names=["doc_id", "n_shingles", "set_key", "parity", "frequent"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, frequent array<struct<col:bigint,n:bigint>>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, parity binary, frequent array<struct<col:bigint,n:bigint>>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -142,12 +159,27 @@ def _cells(met: DataFrame, percent: int) -> DataFrame:
     return met.where("comp <> p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent)).select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, cells: DataFrame, k: int, percent: int) -> DataFrame:
+def _close(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The cells whose parity bitmaps differ in no more bits than the sizes allow."""
+    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = cells.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            apart = np.array([differing(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            # overlap is half of what the sizes leave over the difference
+            yield b.select([0, 1]).filter(pa.array((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb)))
+
+    return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: DataFrame, k: int, percent: int) -> DataFrame:
     """The cells, as classes, whose exact overlap is enough."""
     rep = classes.select("doc_id", "rep").distinct()
     cells = cells.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     cells = cells.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    cells = stored(cells, "cells")
+    cells = stored(_close(cells, rows, percent), "cells")
     ids = stored(cells.select(F.col("a").alias("doc_id")).union(cells.select(F.col("b").alias("doc_id"))).distinct(), "cell-docs")
     n = ids.count()
     if not n:
@@ -184,10 +216,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rou
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where(F.col("n") > max(32, total // FREQUENT_COLUMNS))
     frequent = np.sort(np.array([r["col"] for r in often.select("col").collect()], dtype=np.int64).view(np.uint64))
-    sets = sets.select("doc_id", "n_shingles", "set_key")
-    keyed = sets.where("n_shingles > 0 and doc_id is not null")
+    keyed = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_key")
     reps = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
     classes = stored(keyed.join(reps, "set_key").select("doc_id", "rep"), "classes")
+    rows = sets.select("doc_id", "n_shingles", "parity")
     # a doc_id that repeats with several sets ties their classes together
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(ties.select("a").union(ties.select("b")).distinct(), "a", "left_semi").union(ties)
@@ -196,7 +228,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rou
     large = shared.where(F.col("m") > SMALL_COLUMN).select("col", "doc", "n", "pos")
     met = _round(large.withColumn("comp", F.col("doc")), 0)
     cells = _small_cells(shared, percent).union(_cells(met, percent))
-    links = stored(links.union(_verified(docs, classes, cells, k, percent)), "links")
+    links = stored(links.union(_verified(docs, rows, classes, cells, k, percent)), "links")
     labels = components(links)
     entries = met.select("col", "doc", "n", "pos")
     for salt in range(1, pivot_rounds + 1):
@@ -210,12 +242,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rou
             right = left.select("col", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos", "comp")))
             cells = left.join(right, "col").where("comp < p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent))
             cells = cells.select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
-        more = stored(_verified(docs, classes, cells, k, percent), "more-links")
+        more = stored(_verified(docs, rows, classes, cells, k, percent), "more-links")
         if more.limit(1).count():
             links = stored(links.union(more), "links")
             labels = components(links)
     own = _labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sets.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
