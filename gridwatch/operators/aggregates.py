@@ -57,7 +57,7 @@ def rate_gap(a: DataFrame, b: DataFrame, event: Column) -> DataFrame:
 def range_overlap(train: DataFrame, later: DataFrame, ts: str = "ts") -> DataFrame:
     """First and last time of two tables, and whether the later one begins before the first one ends."""
     a = train.agg(F.min(ts).alias("train_min"), F.max(ts).alias("train_max"))
-    return a.crossJoin(later.agg(F.min(ts).alias("val_min"), F.max(ts).alias("val_max"))).withColumn("overlaps", F.col("val_min") <= F.col("train_max"))
+    return a.crossJoin(later.agg(F.min(ts).alias("val_min"), F.max(ts).alias("val_max"))).withColumn("overlap", F.col("val_min") <= F.col("train_max"))
 
 
 def fixed_label(df: DataFrame, source: DataFrame, value: str, q: float = 0.9, to: str = "price_spike") -> DataFrame:

@@ -55,7 +55,7 @@ def rolling(df: DataFrame, column: str, kind: str, rows: int, to: str, least: in
 def rolling_quantile(df: DataFrame, column: str, q: float, rows: int, to: str, least: int, current: bool = False, ts: str = "ts", series: tuple[str, ...] = ()) -> DataFrame:
     """Rolling quantile (linear between order statistics) of wide windows: a sliding kernel over blocks with a halo."""
     base = _haloed(indexed(df, ts, series), rows + 1, None)
-    schema = df.select(*df.columns).withColumn("idx", F.lit(0).cast("bigint")).withColumn(to, F.lit(0.0)).schema
+    schema = df.select(*df.columns).withColumn("idx", F.lit(0).cast("bigint")).withColumn(to, F.lit(None).cast("double")).schema
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx", kind="stable")

@@ -211,7 +211,7 @@ def rate_gap(spark, d):
     return aggregates.rate_gap(t.where(F.expr(f"l_shipdate < {_SPLIT}")), t.where(F.expr(f"l_shipdate >= {_SPLIT}")), F.col("l_discount") > 0.05)
 
 
-@query(f"{pn.FEATURES} ### select min(ts) filter (ts < timestamp '2024-01-21') as train_min, max(ts) filter (ts < timestamp '2024-01-21') as train_max, min(ts) filter (ts >= timestamp '2024-01-21') as val_min, max(ts) filter (ts >= timestamp '2024-01-21') as val_max, false as overlaps from features", "", "train_min train_max val_min val_max overlaps")
+@query(f"{pn.FEATURES} ### select min(ts) filter (ts < timestamp '2024-01-21') as train_min, max(ts) filter (ts < timestamp '2024-01-21') as train_max, min(ts) filter (ts >= timestamp '2024-01-21') as val_min, max(ts) filter (ts >= timestamp '2024-01-21') as val_max, false as overlap from features", "", "train_min train_max val_min val_max overlap")
 def range_overlap(spark, d):
     f, cut = pn.features(spark, d), F.lit("2024-01-21").cast("timestamp_ntz")
     return aggregates.range_overlap(f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut))
@@ -320,8 +320,7 @@ def schema_failures(spark, d):
 
 
 @query(f"""{pn.PANEL}, b as (select count(*) as n_backwards from (select ts, lag(ts) over (order by event_id) as p from events) where ts < p),
-m as (select count(*) as n_missing from (select ts from grid except select ts from events_slot)), r as (select count(ts) - count(distinct ts) as n_repeats from events) ###
-select *, case when n_issues > 0 then 'error' else 'ok' end as severity from (select *, n_backwards + case when n_missing > 4 then n_missing else 0 end + case when n_repeats > 40 then n_repeats else 0 end as n_issues from b, m, r)""", "", "n_backwards n_missing n_repeats n_issues severity")
+m as (select count(*) as n_missing from (select ts from grid except select ts from events_slot)), r as (select count(ts) - count(distinct ts) as n_repeats from events) ### select *, case when n_issues > 0 then 'error' else 'ok' end as severity from (select *, n_backwards + case when n_missing > 4 then n_missing else 0 end + case when n_repeats > 40 then n_repeats else 0 end as n_issues from b, m, r)""", "", "n_backwards n_missing n_repeats n_issues severity")
 def time_continuity(spark, d):
     return quality.time_continuity(pn.table(spark, d, "events"), seq="event_id")
 
