@@ -1 +1,65 @@
-"""Queries of trained operators; none has an SQL twin."""
+"""Queries of trained and iterative operators; SQL can't express them, so the tests hold them against known results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import attribution, backtest, cluster, iforest, metrics, stats, training
+from . import panel as pn
+from .catalogue import query
+
+FEATURES = ["unplanned", "abs_unplanned", "sched", "upstream_error", "hour", "minute"]
+
+
+@query()
+def granger(spark, d):
+    hourly = pn.features(spark, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(*(F.avg(c).alias(c) for c in ("upstream_error", "unplanned", "price")))
+    links = (("error to price", "price", "upstream_error"), ("error to flow", "unplanned", "upstream_error"), ("flow to price", "price", "unplanned"))
+    out = [stats.granger(hourly, y, x, 4, name) for name, y, x in links]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query()
+def ols_p_values(spark, d):
+    return stats.ols_with_p(pn.features(spark, d), [("unplanned", "price"), ("upstream_error", "unplanned")])
+
+
+@query()
+def iforest_scores(spark, d):
+    t = pn.features(spark, d).withColumn("key", F.unix_micros(F.col("ts").cast("timestamp")))
+    cols = ["price", "unplanned", "sched", "upstream_error"]
+    return iforest.flagged(iforest.score(t, iforest.grow(t, cols, "key"), cols)).select("ts", "anomaly_score", "is_anomaly")
+
+
+def _fitted(spark, d):
+    t = pn.labelled(spark, d).select("ts", "price", "price_spike", *FEATURES)
+    train, later = training.fraction_split(t, 0.8)
+    fit, hold = training.fraction_split(train, 0.8)
+    model = training.fit_boosted(fit, FEATURES, "price_spike", rounds=10)
+    return model, training.fit_calibration(training.raw_scores(model, hold), "price_spike"), later, fit
+
+
+@query()
+def gbt_scores(spark, d):
+    model, calibration, later, _ = _fitted(spark, d)
+    return training.predictions(model, calibration, later).select("ts", "price", "price_spike", "prob_raw", "prob_calibrated", "spike_predicted")
+
+
+@query()
+def attributions(spark, d):
+    model, _, later, fit = _fitted(spark, d)
+    rows = later.orderBy(F.xxhash64("idx"), "idx").limit(200)
+    found = attribution.attributions(lambda x: training.raw_scores(model, x), rows, fit.orderBy(F.xxhash64("idx"), "idx").limit(100), FEATURES, "idx")
+    return attribution.mean_absolute(found)
+
+
+@query()
+def vector_clusters(spark, d):
+    v = pn.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return cluster.density_clusters(cluster.reduced(v, "v", 10), "vec_id", "v", eps=0.35, min_samples=3, min_size=4)
+
+
+@query()
+def backtest_metrics(spark, d):
+    b = backtest.backtest(pn.features(spark, d), "price", "2024-01-15")
+    return metrics.forecast_errors(b, "actual", "forecast", "day")
