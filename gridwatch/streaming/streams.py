@@ -26,12 +26,12 @@ def window_means(stream: DataFrame, columns: list[str], ts: str = "ts", window:
     return out.select(F.col("window.start").alias("start"), *columns)
 
 
-def episode_stream(stream: DataFrame, hit: Column, price: str, ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours", step_minutes: int = 15) -> DataFrame:
-    """Episodes as session windows; a session ends ``gap`` after its last row, so that much is taken off again."""
-    s = stream.where(hit).withWatermark(ts, late).groupBy(F.session_window(ts, gap)).agg(F.count("*").alias("n_intervals"), F.max(price).alias("peak_price"), F.avg(price).alias("mean_price"))
+def episode_stream(stream: DataFrame, hit: Column, price: str, series: list[str], ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours", step_minutes: int = 15) -> DataFrame:
+    """Episodes of each series as session windows; a session ends ``gap`` after its last row, so that much is taken off again."""
+    s = stream.where(hit).withWatermark(ts, late).groupBy(F.session_window(ts, gap), *series).agg(F.count("*").alias("n_intervals"), F.max(price).alias("peak_price"), F.avg(price).alias("mean_price"))
     end = F.col("session_window.end") - F.expr(f"interval {gap}")
     minutes = (F.timestamp_diff("MINUTE", F.col("session_window.start"), end) + step_minutes).cast("int")
-    return s.select(F.col("session_window.start").alias("start_ts"), end.alias("end_ts"), "n_intervals", "peak_price", "mean_price", minutes.alias("duration_min"))
+    return s.select(*series, F.col("session_window.start").alias("start_ts"), end.alias("end_ts"), "n_intervals", "peak_price", "mean_price", minutes.alias("duration_min"))
 
 
 def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:

@@ -98,8 +98,8 @@ def test_files(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(i, T0 + dt.timedelta(minutes=m), float(m)) for i, m in enumerate([0, 15, 45, 200, 215, 3000])]
-    df = spark.createDataFrame(rows, "k long, ts timestamp, p double")
+    rows = [(i, "s", T0 + dt.timedelta(minutes=m), float(m)) for i, m in enumerate([0, 15, 45, 200, 215, 3000])]
+    df = spark.createDataFrame(rows, "k long, s string, ts timestamp, p double")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
@@ -111,7 +111,7 @@ def test_streams(spark, tmp_path):
             q.stop()
         return spark.table(name)
 
-    got = run(streams.episode_stream(stream, F.col("p") >= 0, "p"), "episodes").orderBy("start_ts").collect()
+    got = run(streams.episode_stream(stream, F.col("p") >= 0, "p", ["s"]), "episodes").orderBy("start_ts").collect()
     assert [(r.n_intervals, r.duration_min) for r in got] == [(3, 60), (2, 30)]
     assert run(streams.flagged_rows(stream, [Rule("g", "range", "p", 0, 100), Rule("g", "non_negative", "p")]), "rules").count() == 3
     assert run(streams.rows_by_window(stream, window="1 day", late="1 hour"), "days").first().n == 5

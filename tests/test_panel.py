@@ -27,7 +27,7 @@ def series(spark):
     x = rng.normal(60, 20, 700)
     x[rng.random(700) < 0.1] = np.nan
     pdf = pd.DataFrame({"ts": slots(700), "x": x, "y": rng.normal(size=700)})
-    df = spark.createDataFrame([(t, None if math.isnan(a) else a, b) for t, a, b in pdf.itertuples(index=False)], "ts timestamp_ntz, x double, y double").repartition(5)
+    df = spark.createDataFrame([(t.to_pydatetime(), None if math.isnan(a) else a, b) for t, a, b in pdf.itertuples(index=False)], "ts timestamp_ntz, x double, y double").repartition(5)
     return df, pdf
 
 
