@@ -250,3 +250,12 @@ def panel_rules() -> list[Rule]:
     rows = [x.split() for x in _CATALOGUE.strip().splitlines()]
     rules = [Rule(g, t, c, number(a), number(z), severity=s) for g, t, c, a, z, s in rows]
     return rules + [Rule("derived", "derived_field", c, formula=f, tolerance=t, severity="error") for c, f, t in _DERIVED]
+
+
+def report(checks: dict[str, DataFrame]) -> DataFrame:
+    """``check_type, severity, n_issues`` of several checks: rows that aren't ok, by severity, of tables with a severity."""
+    out = None
+    for name, df in checks.items():
+        one = df.where("severity <> 'ok'").groupBy("severity").agg(F.count("*").alias("n_issues")).select(F.lit(name).alias("check_type"), "severity", "n_issues")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -94,3 +94,19 @@ def lift_by_quantile(df: DataFrame, column: str, flag: str, price: str, n: int =
 
 def price_by_minute(df: DataFrame, price: str, flag: str, ts: str = "ts") -> DataFrame:
     return df.groupBy(F.minute(ts).cast("int").alias("minute")).agg(F.avg(price).alias("mean_price"), F.stddev_samp(price).alias("std_price"), F.avg(flag).alias("spike_rate"), F.count("*").alias("n"))
+
+
+def slope_per_unit(lift: DataFrame, unit: float = 1000.0) -> DataFrame:
+    """Rise of the probability from the first to the last bin, for each ``unit`` of the bins' mean."""
+    first, last = (F.struct("spike_probability", "avg_flow") for _ in range(2))
+    one = lift.agg(F.min_by(first, "bucket").alias("a"), F.max_by(last, "bucket").alias("z"))
+    d = (F.col("z.avg_flow") - F.col("a.avg_flow")) / unit
+    return one.select((F.col("z.spike_probability") - F.col("a.spike_probability")).alias("rise"), F.when(d != 0, (F.col("z.spike_probability") - F.col("a.spike_probability")) / d).alias("slope"))
+
+
+def summary(regressions: DataFrame, lift: DataFrame, correlations: DataFrame) -> DataFrame:
+    """One row: the first regression's correlation, the lift of the last bin, and the strongest lag."""
+    r = regressions.limit(1).select("pearson_r", "slope", "n_obs")
+    up = lift.agg(F.max_by("ratio_vs_q1", "bucket").alias("lift"))
+    lag = strongest(correlations).select("lag_minutes", F.col("pearson_r").alias("lag_r"))
+    return r.crossJoin(up).crossJoin(lag)

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, flag, month_label, sum_available
+from ..functions.columns import clip, energy_to_power, flag, month_label, sum_available
 from ..operators import aggregates, binning, drift, events, metrics, quality, registry, stats, timegrid, windows
+from ..operators import features as ft
 from ..operators.quality import Field, Rule
 from . import panel as pn
 
@@ -561,3 +562,79 @@ def champion_latest(spark, d):
 def promotion(spark, d):
     r = _runs(spark, d)
     return registry.promotion(r.where("not promoted"), registry.latest_promoted(r))
+
+
+# More of the panel
+
+
+@query(f"{pn.FILLED} ### select ts, a_mw, b_mw, a_mw - b_mw as net, a_mw - b_mw - sched as unplanned, abs(a_mw - b_mw - sched) as abs_unplanned, abs(b_mw) as neg_reserve_abs, a_mw + b_mw as net_reserve, (a_mw - b_mw - sched) * sched as interaction from (select ts, sched, flow_in * 4 / 1000 as a_mw, flow_out * 4 / 1000 as b_mw from filled)", "a_mw b_mw net unplanned abs_unplanned neg_reserve_abs net_reserve interaction", "ts")
+def flow_features(spark, d):
+    p = pn.filled_panel(spark, d).select("ts", "sched", F.col("flow_in").alias("a_kwh"), F.col("flow_out").alias("b_kwh"))
+    p = ft.net_flows(energy_to_power(p), {"net": ("a_mw", "b_mw")})
+    p = ft.reserve_features(ft.unplanned_flows(p, {"unplanned": ("net", "sched")}), "a_mw", "b_mw")
+    return ft.products(p, {"interaction": ("unplanned", "sched")}).drop("sched")
+
+
+@query(f"{pn.PANEL} ### select count(*) filter (price is not null and sched is not null) as n_kept, count(*) filter (price is null or sched is null) as n_dropped from panel", "", "n_kept n_dropped")
+def rows_dropped(spark, d):
+    return ft.complete_rows(pn.panel(spark, d), ["price", "sched"])[1]
+
+
+_LAG_SQL = CUTS(f"select {k} as lag_intervals, {15 * k} as lag_minutes, corr(a, b) as pearson_r from (select upstream_error as a, lead(price, {k}) over (order by ts) as b from filled)" for k in range(-12, 13))
+
+
+@query(f"{pn.FILLED} ### select * from ({_LAG_SQL}) order by abs(pearson_r) desc, lag_intervals limit 1", "pearson_r", "lag_intervals lag_minutes")
+def strongest_lag(spark, d):
+    return stats.strongest(stats.cross_correlation(pn.filled_panel(spark, d), "upstream_error", "price"))
+
+
+@query(f"{_LIFT} ### select z.spike_probability - a.spike_probability as rise, (z.spike_probability - a.spike_probability) / ((z.avg_flow - a.avg_flow) / 1000) as slope from s a, s z where a.bucket = 1 and z.bucket = 5", "rise slope")
+def lift_slope(spark, d):
+    return stats.slope_per_unit(stats.lift_by_quantile(pn.labelled(spark, d), "unplanned", "price_spike", "price"))
+
+
+@query(f"{_LIFT}, lags as ({_LAG_SQL}) ### select r.*, up.lift, l.* from (select corr(price, unplanned) as pearson_r, regr_slope(price, unplanned) as slope, regr_count(price, unplanned)::bigint as n_obs from features) r, (select z.spike_probability / nullif(a.spike_probability, 0) as lift from s a, s z where a.bucket = 1 and z.bucket = 5) up, (select lag_minutes, pearson_r as lag_r from lags order by abs(pearson_r) desc, lag_intervals limit 1) l", "pearson_r slope lift lag_r", "n_obs lag_minutes")
+def causal_summary(spark, d):
+    lift = stats.lift_by_quantile(pn.labelled(spark, d), "unplanned", "price_spike", "price")
+    return stats.summary(stats.ols(pn.features(spark, d), [("unplanned", "price")]), lift, stats.cross_correlation(pn.filled_panel(spark, d), "upstream_error", "price"))
+
+
+@query(f"{_Z} ### select ts, threshold, case when price > threshold then 1 else 0 end as price_spike_rolling from t", "threshold", "ts price_spike_rolling")
+def rolling_label(spark, d):
+    out = windows.price_features(pn.filled_panel(spark, d).select("ts", "price"))
+    return out.select("ts", "threshold", flag(F.col("price") > F.col("threshold")).alias("price_spike_rolling"))
+
+
+@query(f"{_Z} ### select min(threshold) as min_threshold, avg(threshold) as mean_threshold, max(threshold) as max_threshold, count(*) filter (threshold < 50) as n_under from t", "min_threshold mean_threshold max_threshold", "n_under")
+def threshold_sanity(spark, d):
+    t = windows.price_features(pn.filled_panel(spark, d).select("ts", "price"))
+    return t.agg(F.min("threshold").alias("min_threshold"), F.avg("threshold").alias("mean_threshold"), F.max("threshold").alias("max_threshold"), F.count_if(F.col("threshold") < 50).alias("n_under"))
+
+
+@query("select 'rows by day' as check_type, severity, count(*) as n_issues from (select case when abs(count(*) - 96) <= 4 then 'ok' when abs(count(*) - 96) > 10 then 'error' else 'warning' end as severity from events group by ts::date) where severity <> 'ok' group by severity union all select 'freshness', 'error', 1 from (select count(*) filter (ts::date = date '2024-02-10') as n from events) where n = 0", "", "check_type severity n_issues")
+def continuity_report(spark, d):
+    e = pn.table(spark, d, "events")
+    return quality.report({"rows by day": quality.rows_by_day(e), "freshness": quality.freshness(e, "2024-02-10")})
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice, l_orderkey, l_linenumber limit 5", "l_extendedprice", "l_orderkey l_linenumber")
+def lowest_prices(spark, d):
+    return drift.lowest(pn.table(spark, d, "lineitem"), "l_extendedprice", 5, ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("select *, n_noise / n as noise_rate from (select 'labels' as model, count(*) as n, count(distinct label) filter (label <> -1) as n_clusters, count(*) filter (label = -1) as n_noise from embeddings union all select 'merged', count(*), count(distinct label % 3 - 1) filter (label % 3 <> 0), count(*) filter (label % 3 = 0) from embeddings)", "noise_rate", "model n n_clusters n_noise")
+def cluster_comparison(spark, d):
+    e = pn.table(spark, d, "embeddings")
+    return events.compare_clusterings({"labels": e.select(F.col("label").alias("cluster")), "merged": e.select((F.col("label") % 3 - 1).alias("cluster"))})
+
+
+@query(f"{pn.FILLED}, {_FC} ### select last_day(day) as month_end, avg(mae) as mae from (select day, avg(abs(day_before - price)) as mae from g group by 1) group by 1", "mae", "month_end")
+def monthly_mae(spark, d):
+    daily = _forecasts(spark, d).groupBy("day").agg(F.avg(F.abs(F.col("price_lag96") - F.col("price"))).alias("mae"))
+    return timegrid.month_mean(daily, "mae")
+
+
+@query("p as (select o_custkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as step from orders where o_orderkey % 2 = 0), q as (select o_custkey, o_totalprice as forecast, row_number() over (partition by o_custkey order by o_orderkey) as step from orders where o_orderkey % 2 = 1) ### select o_custkey, step::integer as step, o_totalprice, forecast from p join q using (o_custkey, step)", "o_totalprice forecast", "o_custkey step")
+def positional_zip(spark, d):
+    o = pn.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return ft.zipped(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1").withColumnRenamed("o_totalprice", "forecast"), "o_custkey", "o_orderkey").drop("o_orderkey")
