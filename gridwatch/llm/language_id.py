@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks
 
 #: Rows of each language that the fit may use, and languages (the most frequent ones, ties by name).
-SAMPLE, LANGUAGES = 1200, 400
+SAMPLE, LANGUAGES = 1000, 400
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = np.array([32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256)], dtype=np.uint8)
