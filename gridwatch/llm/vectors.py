@@ -47,7 +47,7 @@ def _drawn(dimension: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((n, dimension))
 
 
-def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int = 64, depth: int = 8, shared: int = 3, block: int = 1500, seed: int = 7) -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int = 64, depth: int = 8, shared: int = 3, block: int = 500, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     spark = rows.sparkSession
     given = rows.select(rows["vec_id"].cast("bigint").alias("vec_id"), rows["embedding"].cast("array<double>").alias("vector"), rows["label"].cast("string").alias("label"))
