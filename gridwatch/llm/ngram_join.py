@@ -27,7 +27,6 @@ Every input row gets an output row; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
