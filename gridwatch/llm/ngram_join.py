@@ -5,7 +5,7 @@ Documents are rows and n-grams columns of a sparse incidence matrix; two documen
 a whole:
 
 * Equal rows are one class (a 128-bit digest of the sorted set), whose smallest doc_id stands for it.
-* Columns have one global order: those that many documents of a chunk share come last, the others by
+* Columns have one global order: those that many documents share come last, the others by
   hash. A partner must share one of a row's first ``n - ceil(percent * n / 100) + 1`` columns, so only
   those entries are multiplied (size-derived bound), and a cell is dropped when the set sizes, or what is
   left after the shared column in both rows, can't reach the overlap needed.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, chunks, shingles, stored
 from .graph import components
 
-#: Columns that are ordered last: at most so many, as each holds more than its share of all entries.
+#: Columns that are ordered last: the most frequent ones, at most so many. The order decides the work, not the result.
 FREQUENT_COLUMNS = 1 << 18
 #: Bits of a row's parity bitmap, at least; longer rows take a power of two over their size.
 PARITY_BITS = 1024
@@ -73,24 +73,42 @@ def differing(a: bytes, b: bytes) -> int:
     return int((x ^ (y.reshape(len(x), -1).sum(axis=1) & 1)).sum())
 
 
-def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, set_key, parity``, and on some rows ``frequent``: columns that several sets of a chunk share."""
+def shingle_sets(docs: DataFrame, k: int = 5, flush: int = 4_000_000) -> DataFrame:
+    """``doc_id, n_shingles, set_key, parity`` of each document; rows with a null set_key hold ``frequent``: columns
+    that several distinct sets of a task share (of each ``flush`` entries), and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, np.ndarray] = {}
+        held = 0
         for ids, sets in _sets(batches, k):
             keys = [_digest(s) for s in sets]
-            distinct = list(dict(zip(keys, sets, strict=True)).values())
-            values, n = np.unique(np.concatenate(distinct), return_counts=True)
-            often = n >= max(8, len(sets) // 100)
-            frequent = [[{"col": int(v), "n": int(c)} for v, c in zip(values[often].view(np.int64), n[often], strict=True)], *[None] * (len(sets) - 1)]
+            seen.update(zip(keys, sets, strict=True))
+            held += sum(map(len, sets))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(list(map(parity, sets)), pa.binary()), pa.array(frequent, pa.list_(pa.struct({"col": pa.int64(), "n": pa.int64()})))],
-                names=["doc_id", "n_shingles", "set_key", "parity", "frequent"],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(list(map(parity, sets)), pa.binary()), pa.nulls(len(sets), _FREQUENT)],
+                names=_SET_NAMES,
             )
+            if held > flush:
+                yield _shared_in(seen)
+                seen, held = {}, 0
+        if seen:
+            yield _shared_in(seen)
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, parity binary, frequent array<struct<col:bigint,n:bigint>>")
 
 
+_SET_NAMES = ["doc_id", "n_shingles", "set_key", "parity", "frequent"]
+_FREQUENT = pa.list_(pa.struct([("col", pa.int64()), ("n", pa.int64())]))
+
+
+def _shared_in(seen: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+    values, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+    values, n = values[n > 1].view(np.int64), n[n > 1]
+    cells = pa.StructArray.from_arrays([pa.array(values), pa.array(n)], names=["col", "n"])
+    lists = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), cells)
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), lists], names=_SET_NAMES)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
@@ -212,9 +230,10 @@ def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: DataF
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links, itself included)."""
     sets = stored(shingle_sets(docs, k), "sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where(F.col("n") > max(32, total // FREQUENT_COLUMNS))
-    frequent = np.sort(np.array([r["col"] for r in often.select("col").collect()], dtype=np.int64).view(np.uint64))
+    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where(F.col("n") > SMALL_COLUMN)
+    often = often.orderBy(F.desc("n"), "col").limit(FREQUENT_COLUMNS).select("col")
+    frequent = np.sort(np.array([r["col"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+    sets = sets.where("set_key is not null")
     keyed = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_key")
     reps = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
     classes = stored(keyed.join(reps, "set_key").select("doc_id", "rep"), "classes")
