@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -37,9 +38,26 @@ def boosted(features: list[str], label: str, positive_weight: float = 9.0, round
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), gbt])
 
 
-def fit_boosted(df: DataFrame, features: list[str], label: str, positive_weight: float = 9.0, **options) -> PipelineModel:
+def fit_boosted(df: DataFrame, features: list[str], label: str, positive_weight: float = 9.0, held: str | None = None, **options) -> PipelineModel:
+    """All rounds are trained; rows where the boolean column ``held`` is true aren't learnt from, and the trees up to the round with the least loss on them are kept."""
     weighted = df.dropna(subset=[*features, label]).withColumn("_w", F.when(F.col(label) == 1, positive_weight).otherwise(1.0))
-    return boosted(features, label, positive_weight, **options).fit(weighted)
+    if held is None:
+        return boosted(features, label, positive_weight, **options).fit(weighted)
+    model = boosted(features, label, positive_weight, **options).fit(weighted.where(~F.col(held)))
+    assembler, gbt = model.stages
+    losses = gbt.evaluateEachIteration(assembler.transform(weighted.where(held)))
+    return PipelineModel([assembler, _first_trees(gbt, losses.index(min(losses)) + 1)])
+
+
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    trees, weights = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i, (t, w) in enumerate(zip(list(java.trees())[:n], model.treeWeights, strict=False)):
+        trees[i], weights[i] = t, w
+    short = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    for c in ("featuresCol", "labelCol", "predictionCol", "rawPredictionCol", "probabilityCol"):
+        short.set(short.getParam(c), model.getOrDefault(c))
+    return GBTClassificationModel(short)
 
 
 def raw_scores(model: PipelineModel, df: DataFrame) -> DataFrame:

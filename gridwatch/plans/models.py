@@ -9,6 +9,8 @@ from . import panel as pn
 from .catalogue import query
 
 FEATURES = ["unplanned", "abs_unplanned", "sched", "upstream_error", "hour", "minute"]
+#: Rows that the attributions' rows are compared with; every row with known features is explained.
+BACKGROUND = 5000
 
 
 @query()
@@ -35,7 +37,9 @@ def _fitted(spark, d):
     t = pn.labelled(spark, d).select("ts", "price", "price_spike", *FEATURES)
     train, later = training.fraction_split(t, 0.8)
     fit, hold = training.fraction_split(train, 0.8)
-    model = training.fit_boosted(fit, FEATURES, "price_spike", rounds=10)
+    learnt, _ = training.fraction_split(fit, 0.8)
+    cut = learnt.count()
+    model = training.fit_boosted(fit.withColumn("held", F.col("idx") >= cut), FEATURES, "price_spike", held="held")
     return model, training.fit_calibration(training.raw_scores(model, hold), "price_spike"), later, fit
 
 
@@ -48,8 +52,9 @@ def gbt_scores(spark, d):
 @query()
 def attributions(spark, d):
     model, _, later, fit = _fitted(spark, d)
-    rows = later.orderBy(F.xxhash64("idx"), "idx").limit(200)
-    found = attribution.attributions(lambda x: training.raw_scores(model, x), rows, fit.orderBy(F.xxhash64("idx"), "idx").limit(100), FEATURES, "idx")
+    known = later.dropna(subset=FEATURES)
+    background = fit.dropna(subset=FEATURES).orderBy(F.xxhash64("idx"), "idx").limit(BACKGROUND)
+    found = attribution.attributions(lambda x: training.raw_scores(model, x), known, background, FEATURES, "idx")
     return attribution.mean_absolute(found)
 
 
