@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.graph import components
 from .scratch import kept
 
+#: Rows of a block: a task holds the distances of one pair of blocks at a time.
+BLOCK = 2000
+
 
 def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     """``vector`` on its first ``k`` principal components."""
@@ -20,8 +25,18 @@ def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     return model.transform(v).withColumn(vector, vector_to_array("_p")).drop("_v", "_p")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, blocks: int = 4) -> DataFrame:
-    """``a, b, d``: the ``k`` nearest other rows of each row. Every pair of blocks is one task; a block's best ``k`` go on."""
+def block_count(df: DataFrame) -> int:
+    """Blocks of about ``BLOCK`` rows each."""
+    return max(1, -(-df.count() // BLOCK))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
+    """``a, b, d``: the ``k`` nearest other rows of each row. Every pair of blocks is one group; a block's best ``k`` go on."""
+    blocks = blocks or block_count(df)
     b = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(blocks))))).withColumn("side", F.lit(0))
     right = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(blocks))))).withColumn("side", F.lit(1))
@@ -32,7 +47,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, blocks: int = 4) -> Da
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": "int64", "b": "int64", "d": "float64"})
         x, y = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+        d = _distances(x, y)
         d[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = np.inf
         m = min(k, d.shape[1])
         at = np.argpartition(d, m - 1, axis=1)[:, :m]
@@ -45,37 +60,82 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, blocks: int = 4) -> Da
     return near.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("_k") <= k).drop("_k")
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, min_size: int = 20, k: int = 15, blocks: int = 4, max_rounds: int = 40) -> DataFrame:
+def _close(p: pd.DataFrame, q: pd.DataFrame, eps: float) -> np.ndarray:
+    """Which other rows of ``q`` are within ``eps`` of each row of ``p``."""
+    close = _distances(np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())) <= eps
+    close[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = False
+    return close
+
+
+def _in_pairs(b: DataFrame, blocks: int, found: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``found`` of every two blocks of ``b(id, v)``, and of every block with itself."""
+    b = b.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = b.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        p, q = part[part["own"] == i], part[part["own"] == j]
+        return found(p, q) if len(p) and len(q) else found(part.iloc[:0], part.iloc[:0])
+
+    return pairs.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def _forest(p: np.ndarray, q: np.ndarray, close: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same rows of ``p`` and ``q`` as all of ``close`` do: one for each row reached."""
+    out = []
+    left, right = close.any(axis=1), np.ones(len(q), dtype=bool)
+    while left.any():
+        front = np.array([left.argmax()])
+        root = p[front[0]]
+        left[front] = False
+        while len(front):
+            near = np.flatnonzero(close[front].any(axis=0) & right)
+            right[near] = False
+            out += [(root, x) for x in q[near]]
+            front = np.flatnonzero(close[:, near].any(axis=1) & left)
+            left[front] = False
+            out += [(root, x) for x in p[front]]
+    return out
+
+
+def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, min_size: int = 20, blocks: int | None = None) -> DataFrame:
     """``key, cluster``: components of rows whose mutual reachability is at most ``eps``; small ones are noise (-1).
 
-    The core distance is that to the ``min_samples``-th nearest row, itself included; links are sought among the ``k`` nearest.
+    The core distance is that to the ``min_samples``-th nearest row, itself included. It is at most ``eps`` where as many
+    rows are within ``eps``, so these are counted; links are all pairs of such rows within ``eps``, of which every two
+    blocks pass on as many as join the same rows.
     """
-    near = kept(nearest(df, key, vector, max(k, min_samples), blocks), "nearest")
-    core = near.groupBy("a").agg(F.sort_array(F.collect_list("d")).alias("ds")).select("a", F.col("ds")[min_samples - 2].alias("core"))
-    reach = near.join(core, "a").join(core.select(F.col("a").alias("b"), F.col("core").alias("core_b")), "b")
-    edges = reach.where(F.greatest("d", "core", "core_b") <= eps).select("a", "b")
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = kept(both, "links")
-    labels = df.select(F.col(key).alias("a"), F.col(key).alias("label"))
-    total = None
-    for _ in range(max_rounds):
-        low = both.join(labels, "a").groupBy("b").agg(F.min("label").alias("m")).withColumnRenamed("b", "a")
-        labels = labels.join(low, "a", "left").select("a", F.least("label", F.coalesce("m", "label")).alias("label"))
-        labels = kept(labels, "labels")
-        now = labels.agg(F.sum("label")).first()[0]
-        if now == total:
-            break
-        total = now
+    rows = kept(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+    blocks = blocks or block_count(rows)
+
+    def count(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame({"id": [], "n": []}).astype("int64")
+        close = _close(p, q, eps)
+        sides = [(p, close.sum(axis=1))] + ([(q, close.sum(axis=0))] if p["own"].iloc[0] != q["own"].iloc[0] else [])
+        out = pd.concat([pd.DataFrame({"id": x["id"], "n": n}) for x, n in sides])
+        return out[out["n"] > 0]
+
+    def link(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = _forest(p["id"].to_numpy(), q["id"].to_numpy(), _close(p, q, eps)) if len(p) else []
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    core = rows
+    if min_samples > 1:
+        near = _in_pairs(rows, blocks, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+        core = kept(rows.join(near.where(F.col("n") >= min_samples - 1), "id", "left_semi"), "core")
+    labels = components(_in_pairs(core, blocks, link, "a bigint, b bigint"))
+    labels = rows.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    out = labels.join(sizes, "label").select(F.col("a").alias(key), F.when(F.col("n") >= min_size, F.col("label")).otherwise(-1).alias("cluster"))
-    return out
+    return labels.join(sizes, "label").select(F.col("id").alias(key), F.when(F.col("n") >= min_size, F.col("label")).otherwise(-1).alias("cluster"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, cluster: str, blocks: int = 4) -> DataFrame:
+def silhouette(df: DataFrame, key: str, vector: str, cluster: str, blocks: int | None = None) -> DataFrame:
     """``silhouette, n_points, n_clusters`` over rows that aren't noise (Euclidean, exact); null under 2 clusters or 10 rows.
 
     Distances are summed by row and cluster within pairs of blocks; only those sums are shuffled on.
     """
+    blocks = blocks or block_count(df.where(F.col(cluster) != -1))
     b = df.where(F.col(cluster) != -1).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("bigint").alias("c")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.array(*(F.lit(i) for i in range(blocks))))
     left = b.withColumn("j", every).select("id", "v", "c", F.col("own").alias("i"), "j", F.lit(0).alias("side"))
@@ -87,7 +147,7 @@ def silhouette(df: DataFrame, key: str, vector: str, cluster: str, blocks: int =
         for c, other in q.groupby("c"):
             if len(p):
                 x, y = np.stack(p["v"].to_numpy()), np.stack(other["v"].to_numpy())
-                d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+                d = _distances(x, y)
                 out.append(pd.DataFrame({"id": p["id"], "c": p["c"], "other": c, "total": d.sum(axis=1), "n": len(other)}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "c": [], "other": [], "total": [], "n": []})
 
