@@ -4,8 +4,11 @@ Lines that begin with ``>`` marks (spaces between them allowed) are quotes of th
 message's own text. Consecutive lines of one level are a passage; a passage is normalised (lower case, white
 space as one space, quotes of deeper levels left out) and hashed. An original message offers the hash of its
 whole own text and of each of its own lines and paragraphs; a quoted passage links to the first message of its
-conversation that offers its hash, if that came earlier. A message replies to the latest message that its
-outermost linked passages quote; without any it stands in the main line.
+conversation that offers its hash, if that came earlier. A passage that nobody offers as a whole is a trimmed
+quote: its parts (lines, sentences, and runs of ``RUN`` words within them) are looked up among the parts of the
+earlier messages, and it links to the one that offers most of its different parts, the first one among equals,
+if that is more than half of its lines and sentences or of its runs. A message replies to the latest message
+that its outermost linked passages quote; without any it stands in the main line.
 
 Replies come right after what they reply to: ``path`` holds the turns from a message's outermost ancestor
 to itself, and arrays in that order read a conversation with each reply under its message. Paths are built by
@@ -32,7 +35,11 @@ from .common import stored
 _MARKS = re.compile(r"^\s{0,3}((?:>\s?)+)(.*)$")
 _ANNOUNCES = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-SCHEMA = "conv_id bigint, turn bigint, role string, own string, offers array<bigint>, quotes array<struct<level:int,hash:bigint>>"
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Words of a run, by which parts of a line or of wrapped lines are found.
+RUN = 5
+SCHEMA = "conv_id bigint, turn bigint, role string, own string, offers array<bigint>, quotes array<struct<level:int,hash:bigint,lines:array<bigint>,runs:array<bigint>>>"
+_QUOTES = pa.list_(pa.struct({"level": pa.int32(), "hash": pa.int64(), "lines": pa.list_(pa.int64()), "runs": pa.list_(pa.int64())}))
 
 
 def _hash(lines: list[str]) -> int | None:
@@ -40,8 +47,15 @@ def _hash(lines: list[str]) -> int | None:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else None
 
 
-def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """A message's own text, the hashes it offers, and level and hash of the passages it quotes."""
+def parts(lines: list[str]) -> tuple[list[int], list[int]]:
+    """Hashes of the lines and their sentences, and of the runs of ``RUN`` words."""
+    whole = {_hash([x]) for t in lines for x in (t, *_SENTENCE.split(t))} - {None}
+    words = " ".join(lines).split()
+    return sorted(whole), sorted({_hash(words[i : i + RUN]) for i in range(len(words) - RUN + 1)})
+
+
+def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int, list[int], list[int]]]]:
+    """A message's own text, the hashes it offers, and level, hash and parts of the passages it quotes."""
     levels = []
     for line in (text or "").split("\n"):
         m = _MARKS.match(line)
@@ -62,11 +76,37 @@ def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int]]]:
             if v == level:
                 run.append(t)
             elif v < level and run:  # deeper quotes inside a passage aren't its own words
-                quotes += [(level, h) for h in [_hash(run)] if h is not None]
+                quotes += [(level, h, *parts(run)) for h in [_hash(run)] if h is not None]
                 run = []
     return "\n".join(own).strip(), sorted(offers), quotes
 
 
+def _trimmed(parsed: DataFrame, loose: DataFrame) -> DataFrame:
+    """The passages of ``loose`` that an earlier message offers in parts, with that message as ``source``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, runs = zip(*(parts(t.split("\n")) for t in b.column(2).to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))], names=["conv_id", "source", "lines", "runs"])
+
+    def each(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, F.lit(0).alias("kind"), F.explode("lines").alias("part")).unionByName(df.select(*keys, F.lit(1).alias("kind"), F.explode("runs").alias("part")))
+
+    quotes = parsed.where("size(quotes) > 0").select("conv_id", F.explode("quotes").alias("q")).select("conv_id", "q.hash", "q.lines", "q.runs")
+    passages = quotes.join(loose, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min(F.struct("lines", "runs")).alias("p"))
+    passages = stored(passages.select("conv_id", "hash", "p.lines", "p.runs"), "passages")
+    asked = each(passages, "conv_id", "hash")
+    # of equal messages the first one counts
+    firsts = parsed.where("own != ''").groupBy("conv_id", "own").agg(F.min("turn").alias("turn")).select("conv_id", "turn", "own")
+    offered = each(firsts.mapInArrow(run, "conv_id bigint, source bigint, lines array<bigint>, runs array<bigint>"), "conv_id", "source")
+    met = asked.join(offered, ["conv_id", "kind", "part"]).select("conv_id", "hash", "source", "kind", "part").distinct()
+    met = met.groupBy("conv_id", "hash", "source").agg(F.count("*").alias("n"), F.sum("kind").alias("n_runs"))
+    enough = (2 * (F.col("n") - F.col("n_runs")) > F.size("lines")) | (2 * F.col("n_runs") > F.size("runs"))
+    good = met.join(passages, ["conv_id", "hash"]).where(enough).select("conv_id", "hash", "source", "n")
+    best = loose.join(good, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "hash").agg(F.max(F.struct("n", (-F.col("source")).alias("s"))).alias("m"))
+    return best.select("conv_id", "turn", "level", "hash", (-F.col("m.s")).alias("source"))
+
+
 def reply_ordered(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", max_rounds: int = 40) -> DataFrame:
     """``conv_id, turn, role, n_quotes, n_linked, reply_to, depth, path, formatted`` of every message."""
 
@@ -74,7 +114,7 @@ def reply_ordered(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", m
         for b in batches:
             own, offers, quotes = zip(*map(parse, b.column(3).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(own, pa.string()), pa.array(offers, pa.list_(pa.int64())), pa.array([[{"level": v, "hash": h} for v, h in q] for q in quotes], pa.list_(pa.struct({"level": pa.int32(), "hash": pa.int64()})))],
+                [*b.columns[:3], pa.array(own, pa.string()), pa.array(offers, pa.list_(pa.int64())), pa.array([[dict(zip(("level", "hash", "lines", "runs"), x, strict=True)) for x in q] for q in quotes], _QUOTES)],
                 names=["conv_id", "turn", "role", "own", "offers", "quotes"],
             )
 
@@ -84,7 +124,10 @@ def reply_ordered(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", m
     quoted = stored(quoted, "quoted")
     asked = quoted.select("conv_id", "hash").distinct()
     offered = parsed.select("conv_id", F.explode("offers").alias("hash"), "turn").join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    linked = quoted.join(stored(offered, "offered"), ["conv_id", "hash"]).where("source < turn")
+    linked = stored(quoted.join(stored(offered, "offered"), ["conv_id", "hash"]).where("source < turn"), "linked")
+    loose = stored(quoted.join(linked, ["conv_id", "turn", "level", "hash"], "left_anti").where("conv_id is not null"), "loose")
+    if loose.limit(1).count():
+        linked = linked.unionByName(_trimmed(parsed, loose))
     outermost = linked.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("v"), "source")).alias("m"), F.count("*").alias("n_linked"))
     replies = stored(outermost.select("conv_id", "turn", F.col("m.source").alias("reply_to"), "n_linked"), "replies")
 
