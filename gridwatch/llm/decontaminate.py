@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import ALPHANUMERIC, Words, as_bytes, chunks, mix, stored
 
-#: Positions that a mask takes (1) or ignores (0).
-MASKS = ("111111", "1110111", "11010111", "1011010011", "11001000111")
+#: Positions that a mask takes (1) or ignores (0). The last two are laid over items of 8 to 11 words only, where the others miss some substitutions.
+MASKS = ("111111", "1110111", "11010111", "1011010011", "11001000111", "1111", "11011")
+_SHORT, _SHORT_ITEMS = (5, 6), range(8, 12)
 LEAST_WORDS = 3
 _SHORTEST = min(map(len, MASKS))
 _FACTORS = np.random.default_rng(99).integers(1, 1 << 63, (len(MASKS) + 1, 16), dtype=np.uint64) | np.uint64(1)
@@ -49,7 +50,7 @@ def _seeds(h: np.ndarray, mask: int) -> np.ndarray:
 
 def _kinds(n: int) -> list[int]:
     """The masks that an item of ``n`` words is hashed with."""
-    return [m for m in range(len(MASKS)) if len(MASKS[m]) <= n] or ([-n] if n >= LEAST_WORDS else [])
+    return [m for m in range(len(MASKS)) if len(MASKS[m]) <= n and (m not in _SHORT or n in _SHORT_ITEMS)] or ([-n] if n >= LEAST_WORDS else [])
 
 
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
