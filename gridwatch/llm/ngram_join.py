@@ -13,11 +13,11 @@ a whole:
   the sizes allow the sets to differ in is dropped before its texts are fetched: another exact bound.
 * Blocks of the product follow the columns. Columns of up to ``SMALL_COLUMN`` entries are multiplied as they
   are. In a larger column each entry first meets one pivot entry (linear in the entries). Surviving cells get
-  their exact overlap accumulated, and linked rows become components. Further rounds take other pivots, only in
+  their exact overlap from both texts, read again, and linked rows become components. Further rounds take other pivots, only in
   large columns that still hold several components; the last round multiplies what is left of those: all cells
   between rows of different components. A pair with enough overlap shares an early column, so it is in one
-  component or gets verified there; no link between components can be missed, and no large group is
-  expanded into pairs.
+  component or gets verified there; no link between components can be missed. In the last round a large column
+  whose rows stay in many components is expanded into the pairs between them.
 
 Null or empty texts have an empty set and link with nothing, as do rows with a null doc_id; fewer words
 than ``k`` are one shingle. Rows that repeat a doc_id are one document with links of each of its texts.
