@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; where that is unset, a temporary folder is set for the session."""
+    """``df`` written under ``spark.checkpoint.dir`` and read back. Where that is unset, a session on one machine gets a temporary folder, and a cluster an error: its executors share no such folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gridwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/gridwatch/{name}-{uuid.uuid4().hex}"
