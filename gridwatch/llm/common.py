@@ -7,6 +7,7 @@ and hold at most ``CHUNK_BYTES`` of text, or one longer document, at a time.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,7 +15,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Bytes of text, and words, of which scratch arrays are held at a time, whatever the length of a document.
+BLOCK_BYTES, BLOCK_WORDS = 1 << 20, 1 << 16
 _MASK = np.ones(256, dtype=bool)
 _MASK[[9, 10, 11, 12, 13, 32]] = False
 _rng = np.random.default_rng(20240131)
@@ -23,6 +26,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 ALPHANUMERIC = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
+_HIGH = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _POWERS[-1])]), dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gridwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/gridwatch/{name}-{uuid.uuid4().hex}"
@@ -73,11 +79,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.full(2 * n, np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
-    return _POWERS
+def _powers(place: np.ndarray) -> np.ndarray:
+    """Powers of the hash's factor, from two tables."""
+    out = _POWERS[place & 4095]
+    if len(place) and (high := place >> 12).any():
+        out *= _HIGH[high & 4095] * _HIGH[4095 - (high >> 12)] if (high >> 12).any() else _HIGH[high]
+    return out
 
 
 class Words:
@@ -96,13 +103,20 @@ class Words:
         self.hashes = self._hash()
 
     def _hash(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        lead = self.starts[0]
-        spans = np.diff(self.starts, append=len(self.buf))
-        place = np.arange(lead, len(self.buf)) - np.repeat(self.starts, spans)
-        terms = _BYTE[self.buf[lead:]] * self.inside[lead:] * _powers(int(spans.max()))[place]
-        sums = np.add.reduceat(terms, self.starts - lead)
+        sums = np.zeros(len(self.starts), dtype=np.uint64)
+        for lo in range(0, len(self.buf), BLOCK_BYTES):
+            hi = min(lo + BLOCK_BYTES, len(self.buf))
+            # words that have bytes in the block
+            a, b = np.searchsorted(self.ends, lo, side="right"), np.searchsorted(self.starts, hi)
+            if a == b:
+                continue
+            first = np.maximum(self.starts[a:b], lo)
+            at = np.arange(first[0], hi)
+            spans = np.diff(first, append=hi)
+            place = at - np.repeat(self.starts[a:b], spans)
+            terms = _BYTE[self.buf[at[0] : hi]] * self.inside[at[0] : hi]
+            terms *= _powers(np.where(self.inside[at[0] : hi], place, 0))
+            sums[a:b] += np.add.reduceat(terms, first - first[0])
         return mix(sums + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
     def word(self, i: int) -> bytes:

@@ -81,7 +81,7 @@ class Encoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in t.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.table = UnitTable(self._encode, 900_000)
+        self.table = UnitTable(self._encode, 128 << 20, 190, 2)
 
     def _encode(self, units: list[str]) -> list[bytes]:
         """Words of letters many at a time, told apart by the pieces that end a word; the others one by one."""

@@ -6,8 +6,8 @@ average of its subwords' embeddings, and a linear softmax gives the languages. S
 over single documents trains both. A temperature fitted on calibration rows makes the largest probability a
 confidence, and texts whose confidence is under a low quantile of those of calibration rows are rejected.
 
-The fit uses at most ``SAMPLE`` rows with a language for each language, in hash order of doc_id; prediction
-covers every whole text. Texts that are null or have no letter are ``und`` with score 0 and rejected, and so
+The fit uses about ``SAMPLE`` rows of each language, drawn by the hash of their doc_id against a bound from the
+language's count, and about ``SAMPLE_ROWS`` in all, at least one of each language. Prediction covers every whole text. Texts that are null or have no letter are ``und`` with score 0 and rejected, and so
 is every text where no row has a language. Repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -20,40 +20,44 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks
+from .common import BLOCK_BYTES, as_bytes, chunks
 
-#: Rows of each language that the fit may use, and languages (the most frequent ones, ties by name).
-SAMPLE, LANGUAGES = 1000, 400
+#: Rows of each language, and rows in all, that the fit uses.
+SAMPLE, SAMPLE_ROWS = 1200, 20_000
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = np.array([32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256)], dtype=np.uint8)
 
 
-def _subwords(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: the bucket at every byte of the joined texts (``BUCKETS`` for none), and each text's first byte."""
+def _subwords(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of the joined texts and each length: the bucket at every byte (``BUCKETS`` for none), the
+    documents that have bytes in the block, and the first of each there."""
     joined = b"\n\n".join(docs).lower()
-    buf = _SPACE[np.frombuffer(b"\n" + joined + b"\n" * 6, dtype=np.uint8)].astype(np.uint32)
+    every = np.frombuffer(b"\n" + joined + b"\n" * 6, dtype=np.uint8)
     first = np.concatenate([[0], np.cumsum([len(d) + 2 for d in docs])])
-    n = first[-1]
-    space = buf == 32
-    for k in ORDERS:
-        h = np.full(n, k, dtype=np.uint32)
-        for j in range(k):
-            h = h * np.uint32(0x01000193) ^ buf[j : j + n]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        bucket = (h >> np.uint32(17)).astype(np.int32)
-        bad = space[:n] & space[k - 1 : k - 1 + n] if k == 2 else np.logical_or.reduce([space[j : j + n] for j in range(1, k - 1)])
-        bucket[bad] = BUCKETS
-        bucket[first[1:] - 1] = BUCKETS  # the second of two line ends: it belongs to no text
-        yield bucket, first
+    for lo in range(0, int(first[-1]), BLOCK_BYTES):
+        n = min(BLOCK_BYTES, int(first[-1]) - lo)
+        buf = _SPACE[every[lo : lo + n + max(ORDERS)]].astype(np.uint32)
+        space = buf == 32
+        own = np.arange(np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + n))
+        last = first[own + 1] - 1 - lo
+        for k in ORDERS:
+            h = np.full(n, k, dtype=np.uint32)
+            for j in range(k):
+                h = h * np.uint32(0x01000193) ^ buf[j : j + n]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            bucket = (h >> np.uint32(17)).astype(np.int32)
+            bad = space[:n] & space[k - 1 : k - 1 + n] if k == 2 else np.logical_or.reduce([space[j : j + n] for j in range(1, k - 1)])
+            bucket[bad] = BUCKETS
+            bucket[last[last < n]] = BUCKETS  # the second of two line ends: it belongs to no text
+            yield bucket, own, np.maximum(first[own] - lo, 0)
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    n = sum(np.bincount(b, minlength=BUCKETS + 1) for b, _ in _subwords(as_bytes([text])))[:BUCKETS]
+    n = sum(np.bincount(b, minlength=BUCKETS + 1) for b, _, _ in _subwords(as_bytes([text])))[:BUCKETS]
     at = np.flatnonzero(n)
     return at, n[at].astype(np.float32)
 
@@ -62,21 +66,22 @@ def sample(docs: DataFrame, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray,
     """Buckets, counts and language of the rows to fit on: a bounded sample."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    ids = rows.select("doc_id", "lang")
-    top = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    # ranks are cut within each task first, so no language's rows meet as a whole
-    chosen = ids.where(F.col("lang").isin(top)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("doc_id", "lang").distinct()
-    chosen = rows.sparkSession.createDataFrame(chosen.toPandas() if top else [], "doc_id bigint, lang string")
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return []
+    most = max(1, min(SAMPLE, SAMPLE_ROWS // len(counts)))
+    # the draw's bound leaves room for chance, so that a small language still has a row
+    bounds = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (most + 3 * most**0.5) / r["count"]) * (1 << 62))) for r in counts], "lang string, bound bigint")
+    drawn = rows.join(F.broadcast(bounds), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 2) <= F.col("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [_counts(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([a.astype(np.int32).tobytes() for a, _ in both], pa.binary()), pa.array([n.tobytes() for _, n in both], pa.binary())], names=["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([a.astype(np.uint16).tobytes() for a, _ in both], pa.binary()), pa.array([n.tobytes() for _, n in both], pa.binary())], names=["doc_id", "lang", "at", "n"])
 
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, at binary, n binary").toPandas()
+    got = drawn.select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, at binary, n binary").toPandas()
     got = got.sort_values(["doc_id", "lang", "at", "n"], kind="stable").drop_duplicates(["doc_id", "lang"])
-    return [(np.frombuffer(a, dtype=np.int32), np.frombuffer(n, dtype=np.float32), g) for a, n, g in zip(got["at"], got["n"], got["lang"], strict=True) if len(a)]
+    return [(np.frombuffer(a, dtype=np.uint16), np.frombuffer(n, dtype=np.float32), g) for a, n, g in zip(got["at"], got["n"], got["lang"], strict=True) if len(a)]
 
 
 class Model:
@@ -116,9 +121,9 @@ class Model:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         sums, n = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
-        for bucket, first in _subwords(as_bytes(texts)):
-            sums += np.add.reduceat(self.table[bucket], first[:-1])
-            n += np.add.reduceat((bucket < BUCKETS).astype(np.int64), first[:-1])
+        for bucket, own, first in _subwords(as_bytes(texts)):
+            sums[own] += np.add.reduceat(self.table[bucket], first)
+            n[own] += np.add.reduceat((bucket < BUCKETS).astype(np.int64), first)
         p = _softmax((sums / np.maximum(n, 1)[:, None] + self.bias) * self.heat)
         best = p.argmax(axis=1)
         return [self.langs[i] if ok else "und" for i, ok in zip(best, letters, strict=True)], np.where(letters, p.max(axis=1), 0.0)
@@ -129,8 +134,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _predicted(batch: pa.RecordBatch, model: Model) -> tuple[list[str], np.ndarray]:
-    texts = batch.column(batch.schema.get_field_index("text"))
+def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     langs, scores = [], [np.zeros(0)]
     for s in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         g, p = model.predict(texts.slice(s.start, s.stop - s.start).to_pylist())
@@ -146,7 +150,7 @@ def language_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, p = _predicted(b, shared.value)
+            g, p = _predicted(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
 
     out = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
@@ -155,12 +159,13 @@ def language_of(docs: DataFrame) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language isn't rejected, with all of their columns."""
+    """The rows of ``docs`` whose language isn't rejected, with all of their columns. Only texts go to Python workers."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, p = _predicted(b, shared.value)
-            yield b.filter(pa.array([x != "und" for x in g], pa.bool_())).filter(pa.array(p[[x != "und" for x in g]] >= shared.value.least)) if g else b
+    @F.arrow_udf("boolean")
+    def known(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            g, p = _predicted(texts, shared.value)
+            yield pa.array([x != "und" for x in g], pa.bool_()) if not g else pa.array((np.array(g) != "und") & (p >= shared.value.least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(docs["text"].cast("string")))

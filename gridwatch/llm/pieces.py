@@ -32,12 +32,12 @@ _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 64 << 20):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.independent = marked_words_are_independent(self.model)
-        self.table = UnitTable(self._segment, limit)
+        self.table = UnitTable(self._segment, limit, 400, 8)
         self.lone = self.model.piece_to_id(MARK)
 
     def words(self, text: str) -> list[str]:

@@ -47,8 +47,8 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk_chars, self.overlap = chunk_chars, overlap
-        self.later = UnitTable(lambda u: [len(e.ids) for e in self.tokenizer.encode_batch_fast([f" {x}" for x in u], add_special_tokens=False)])
-        self.edges = UnitTable(lambda u: [self._ends(e) for e in self.tokenizer.encode_batch(u, add_special_tokens=False)], 60_000)
+        self.later = UnitTable(lambda u: [len(e.ids) for e in self.tokenizer.encode_batch_fast([f" {x}" for x in u], add_special_tokens=False)], 48 << 20, 160, 1)
+        self.edges = UnitTable(lambda u: [self._ends(e) for e in self.tokenizer.encode_batch(u, add_special_tokens=False)], 16 << 20, 250, 8)
 
     @staticmethod
     def _ends(encoding) -> np.ndarray:

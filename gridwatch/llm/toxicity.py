@@ -11,15 +11,15 @@ language group from its words alone, and on calibration rows that training didn'
 logit that separates best. The score is a logistic curve shifted so that this logit scores 0.7; it depends
 on nothing but the text.
 
-The fit uses at most ``SAMPLE`` labelled rows of each class, in hash order of doc_id, of at most
-``SAMPLE_WORDS`` words each; scoring covers every whole text. Rows with null labels, ids or texts are not learnt
-from. Null and empty texts are scored by the model's maxima over no words (0). Without labelled rows of both
+The fit uses at most ``SAMPLE`` labelled rows of each class, in hash order of doc_id; longer rows than
+``SAMPLE_WORDS`` words are left out of it. Scoring covers every whole text. Rows with null labels, ids or texts are
+not learnt from; a doc_id that repeats in the labels counts as toxic if any of its labels says so. Null and empty texts are scored by the model's maxima over no words (0). Without labelled rows of both
 classes every score is the share of toxic labels, below 0.7 without any. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, Words, as_bytes, chunks, mix
+from .common import ALPHANUMERIC, BLOCK_WORDS, Words, as_bytes, chunks, mix
 
 #: Labelled rows of each class that the fit may use, and words of a row.
 SAMPLE, SAMPLE_WORDS = 2500, 5000
@@ -36,17 +36,18 @@ _PREFIX = (4, 5, 6, 7)
 KINDS = 1 + len(_PREFIX)
 
 
-def _features(words: Words) -> np.ndarray:
-    """Five buckets for each word of a chunk."""
-    out = np.empty((len(words.hashes), KINDS), dtype=np.int32)
+def _features(words: Words, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Five buckets for each of some consecutive words of a chunk."""
+    hashes, starts = words.hashes[lo:hi], words.starts[lo:hi]
+    out = np.empty((len(hashes), KINDS), dtype=np.uint16)
     shift = np.uint64(64 - 15)
-    out[:, 0] = words.hashes >> shift
-    buf = np.concatenate([words.buf, np.zeros(8, dtype=np.uint8)])
-    long = words.ends - words.starts
+    out[:, 0] = hashes >> shift
+    long = words.ends[lo:hi] - starts
     with np.errstate(over="ignore"):
         h = np.zeros(len(long), dtype=np.uint64)
         for j in range(max(_PREFIX)):
-            h = h * np.uint64(0x100000001B3) + np.where(long > j, buf[words.starts + j], 0).astype(np.uint64) + np.uint64(1)
+            at = np.minimum(starts + j, len(words.buf) - 1)
+            h = h * np.uint64(0x100000001B3) + np.where(long > j, words.buf[at], 0).astype(np.uint64) + np.uint64(1)
             if j + 1 in _PREFIX:
                 out[:, 1 + _PREFIX.index(j + 1)] = mix(h) >> shift
     return out
@@ -57,9 +58,10 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> list[tuple[np.n
     spark = docs.sparkSession
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = []
     for t in (0, 1):  # two classes, each cut by a top-k of hash order
-        picked += [(r["doc_id"], t) for r in known.where(F.col("toxic") == t).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE).collect()]
+        picked += [(r["doc_id"], t) for r in known.where(F.col("toxic") == t).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE).collect()]
     if not picked:
         return []
     chosen = spark.createDataFrame(picked, "doc_id bigint, toxic int")
@@ -77,7 +79,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> list[tuple[np.n
 
     got = rows.select("doc_id", "text", "toxic", "lang").mapInArrow(run, "doc_id bigint, toxic int, lang string, words binary").toPandas()
     got = got.sort_values(["doc_id", "words"], kind="stable").drop_duplicates("doc_id")
-    return [(np.frombuffer(w, dtype=np.int32).reshape(-1, KINDS), int(t), g) for w, t, g in zip(got["words"], got["toxic"], got["lang"], strict=True)]
+    return [(np.frombuffer(w, dtype=np.uint16).reshape(-1, KINDS), int(t), g) for w, t, g in zip(got["words"], got["toxic"], got["lang"], strict=True)]
 
 
 class Model:
@@ -185,32 +187,40 @@ class Model:
                     p[self.groups.index(g)] -= 1
                     self.words[u] -= 20 * share * p
 
-    def logits(self, f: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and language group of each document of a chunk, from all words of its whole text."""
-        n = len(first) - 1
-        tops = np.zeros((n, len(WIDTHS) * FILTERS), dtype=np.float32)
-        group = np.zeros(n, dtype=np.int64)
-        full = np.flatnonzero(np.diff(first))
-        if len(full):
+    def logits(self, features: Callable[[int, int], np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and language group of each document of a chunk, from all words of its whole text. ``features``
+        gives those of a range of words; filters run over ``BLOCK_WORDS`` positions at a time."""
+        n, reach = len(first) - 1, max(WIDTHS) - 1
+        tops = np.full((n, len(WIDTHS) * FILTERS), -np.inf, dtype=np.float32)
+        votes = np.zeros((n, self.words.shape[1]))
+        for lo in range(0, int(first[-1]), BLOCK_WORDS):
+            hi = min(lo + BLOCK_WORDS, int(first[-1]))
+            f = features(lo, min(hi + reach, int(first[-1])))
             x = self.emb[f[:, 0]]
             for c in range(1, KINDS):
                 x += self.emb[f[:, c]]
-            at = first[:-1][full]
-            ends = first[1:][full]
+            docs = np.arange(np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, hi))
+            docs = docs[first[docs + 1] > first[docs]]
+            at = np.maximum(first[docs], lo) - lo
+            ends = first[docs + 1] - lo
             for k, (w, g) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                z = x @ g[0]
+                z = (x @ g[0])[: hi - lo]
                 for j in range(1, w):
                     more = x[j:] @ g[j]
                     for e in ends:  # a filter doesn't reach into the next document
                         more[max(e - j, 0) : e] = 0
-                    z[: len(z) - j] += more
-                tops[full, k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(z, at) + self.bias[k], 0)
-            group[full] = np.add.reduceat(self.words[f[:, 0]], at).argmax(axis=1)
-        return tops @ self.out + self.base, group
+                    m = min(len(z), len(more))
+                    z[:m] += more[:m]
+                part = tops[docs, k * FILTERS : (k + 1) * FILTERS]
+                tops[docs, k * FILTERS : (k + 1) * FILTERS] = np.maximum(part, np.maximum.reduceat(z, at))
+            votes[docs] += np.add.reduceat(self.words[f[: hi - lo, 0]], at)
+        tops = np.where(np.isfinite(tops), np.maximum(tops + self.bias.ravel(), 0), 0)
+        return tops @ self.out + self.base, votes.argmax(axis=1)
 
     def _calibrate(self, rows) -> None:
         n = np.array([len(f) for f, _, _ in rows])
-        z, group = self.logits(np.concatenate([f for f, _, _ in rows]), np.concatenate([[0], np.cumsum(n)]))
+        every = np.concatenate([f for f, _, _ in rows])
+        z, group = self.logits(lambda lo, hi: every[lo:hi], np.concatenate([[0], np.cumsum(n)]))
         y = np.array([t for _, t, _ in rows])
         self.cut = np.array([_best_cut(z, y)] * max(len(self.groups), 1))
         for g in range(len(self.groups)):
@@ -218,10 +228,10 @@ class Model:
             if y[own].sum() >= 10 and (1 - y[own]).sum() >= 10:
                 self.cut[g] = _best_cut(z[own], y[own])
 
-    def score(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def score(self, words: Words) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(first) - 1, self.constant)
-        z, group = self.logits(f, first)
+            return np.full(len(words.first) - 1, self.constant)
+        z, group = self.logits(lambda lo, hi: _features(words, lo, hi), words.first)
         return 1 / (1 + np.exp(-(z - self.cut[group]).astype(float) - np.log(0.7 / 0.3)))
 
 
@@ -242,30 +252,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, score in _scored(batches, shared.value, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(score)], names=["doc_id", "score"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), shared.value))], names=["doc_id", "score"])
 
     scored = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, first: str, text: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
-        for s in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-            n = s.stop - s.start
-            w = Words(as_bytes(texts.slice(s.start, n).to_pylist()), ALPHANUMERIC)
-            yield batch.column(batch.schema.get_field_index(first)).slice(s.start, n), model.score(_features(w), w.first)
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    out = [np.zeros(0)]
+    for s in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        out.append(model.score(Words(as_bytes(texts.slice(s.start, s.stop - s.start).to_pylist()), ALPHANUMERIC)))
+    return np.concatenate(out)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score under ``least``, with all of their columns."""
+    """The rows of ``docs`` that score under ``least``, with all of their columns. Only texts go to Python workers."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = [s for _, s in _scored(iter([b]), shared.value, "text", "text")]
-            yield b.filter(pa.array(np.concatenate(score) < least)) if score else b
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array(_scores(texts, shared.value))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(docs["text"].cast("string")) < least)
