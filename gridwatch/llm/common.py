@@ -90,8 +90,9 @@ def _powers(place: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a chunk of documents: byte offsets, 64-bit hashes, and each document's range of words."""
 
-    def __init__(self, docs: list[bytes], mask: np.ndarray = _MASK):
-        self.joined = b"\n".join(docs).lower() + b"\n"
+    def __init__(self, docs: list[bytes], mask: np.ndarray = _MASK, lower: bool = True):
+        self.joined = b"\n".join(docs) + b"\n"
+        self.joined = self.joined.lower() if lower else self.joined
         self.buf = np.frombuffer(self.joined, dtype=np.uint8)
         inside = mask[self.buf]
         self.inside = inside

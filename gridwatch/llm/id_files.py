@@ -1,9 +1,9 @@
 """Token-ID files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Writing. A first pass encodes each document, adds the end id and keeps the ids in the shared scratch folder;
-a second counts every id over all documents. Ids are ranked by falling count (ties: smaller id first), so
+Writing. A first pass encodes each document, adds the end id, keeps the ids in the shared scratch folder and
+counts each task's ids beside them. Ids are ranked by falling count (ties: smaller id first), so
 frequent ids get small ranks. The counts are one row for each id of the vocabulary, which bounds the rank
-table that is broadcast. A third pass writes the documents' ranks as groups of four: a control byte with four two-bit lengths less one, kept apart from the data
+table that is broadcast. A second pass writes the documents' ranks as groups of four: a control byte with four two-bit lengths less one, kept apart from the data
 bytes (little-endian, 1 to 4 of them). Documents are range-partitioned and sorted by doc_id; a file holds
 ``doc_id, n_tokens, control, data`` as Parquet rows, under ``part=<n>`` in ascending doc_id order, and the
 vocabulary by rank stands beside them.
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
-from .units import UnitTable
+from .common import Words, chunks, stored
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _OFFSETS = np.concatenate([np.zeros((256, 1), dtype=np.int64), np.cumsum(_LENGTHS, axis=1)], axis=1)
@@ -65,58 +65,93 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. White space is dropped and no piece runs across it, so each distinct word between
-    spaces and line ends is encoded once. In texts of Latin-1 characters, which lower-casing leaves composed
-    and which the library would lower-case the same way, words are taken in lower case and full stops and
-    commas that touch no other mark stand on their own, as the pre-tokenizer cuts there too."""
+    spaces and line ends is encoded once and known by its 64-bit hash after that. In texts of Latin-1 characters,
+    which lower-casing leaves composed and which the library would lower-case the same way, words are taken in
+    lower case and full stops and commas that touch no other mark stand on their own, as the pre-tokenizer cuts
+    there too. ``most`` bounds the words and ids that are kept: a full table starts anew, with the same results."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.size = t.get_vocab_size(with_added_tokens=True)
+        self.size, self.most = t.get_vocab_size(with_added_tokens=True), most
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in t.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.table = UnitTable(self._encode, 128 << 20, 190, 2)
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        """Words of letters many at a time, told apart by the pieces that end a word; the others one by one."""
-        out: dict[str, bytes] = {}
-        plain = [u for u in units if u.isalpha() and _latin(u)]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}  # hash: place in the pool and number of ids, in one integer
+        self.pool, self.used = np.zeros(1 << 16, dtype=self.kind), 0
+
+    def _keep(self, keys: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Append the ids of some words to the pool."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), dtype=self.kind)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(lengths) - lengths
+        self.known.update(zip(keys, ((places << 28) | lengths).tolist(), strict=True))
+        self.used += len(ids)
+
+    def _add(self, keys: list[int], units: list[str]) -> None:
+        """Encode words: those of letters many at a time, told apart by the pieces that end a word; the others one by one."""
+        rest, plain = [], []
+        for k, u in zip(keys, units, strict=True):
+            (plain if u.isalpha() and _latin(u) else rest).append((k, u))
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([u for _, u in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.kind)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
-                b, at = ids.tobytes(), [0, *cuts.tolist()]
-                out.update(zip(group, (b[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
-        rest = [u for u in units if u not in out]
-        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[u] = np.array(e.ids, dtype=self.kind).tobytes()
-        return [out[u] for u in units]
+                self._keep([k for k, _ in group], np.diff(cuts, prepend=0), ids)
+            else:
+                rest += group
+        if rest:
+            every = [e.ids for e in self.tokenizer.encode_batch_fast([u for _, u in rest], add_special_tokens=False)]
+            self._keep([k for k, _ in rest], np.array(list(map(len, every))), np.array(list(chain.from_iterable(every)), dtype=self.kind))
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if _latin(text):
+    def prepared(text: str) -> bytes:
+        """The text as words between spaces and line ends that are encoded on their own."""
+        if "<|" not in text and _latin(text):  # special strings count as they are written
             text = text.lower()
-            if not _TOUCHING.search(text):
+            if not _TOUCHING.search(text.replace("\n", " ")):
                 text = text.replace(".", " . ").replace(",", " , ")
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.words(t) for t in texts]
-        self.table.cover(set().union(*parts))
-        get = self.table.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-#: A full stop or comma next to another mark, or in a special string.
-_TOUCHING = re.compile(r"[.,<](?:(?<=[.,])[^\sa-z0-9à-öø-ÿ]|(?<=[^\sa-z0-9à-öø-ÿ][.,])|(?<=<)\|)")
+        return text.encode()
+
+    def _places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of every word of a chunk."""
+        hashes, first, at = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > self.most or self.used > 8 * self.most:
+            self._clear()
+        keys = hashes.tolist()
+        missing = [i for i, k in enumerate(keys) if k not in self.known]
+        if missing:
+            new = first[missing]
+            spans = zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)
+            self._add([keys[i] for i in missing], [words.joined[x:y].decode() for x, y in spans])
+        place = np.array(list(map(self.known.__getitem__, keys)), dtype=np.int64)[at]
+        return place >> 28, place & ((1 << 28) - 1)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        words = Words(list(map(self.prepared, texts)), _BETWEEN, lower=False)
+        if not len(words.hashes):
+            return [np.zeros(0, dtype=self.kind)] * len(texts)
+        place, n = self._places(words)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(place - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[words.first]
+        return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+_BETWEEN = np.ones(256, dtype=bool)
+_BETWEEN[[10, 32]] = False
+#: A full stop or comma next to another mark. White space is the tokenizer's own, which U+001C to U+001F aren't.
+_TOUCHING = re.compile(r"[.,](?:(?<=[.,])[^\t-\r \x85\xa0a-z0-9à-öø-ÿ]|(?<=[^\t-\r \x85\xa0a-z0-9à-öø-ÿ][.,]))")
 
 
 def _latin(text: str) -> bool:
@@ -138,40 +173,37 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             yield batch.column(0).slice(s.start, n), [t or "" for t in batch.column(1).slice(s.start, n).to_pylist()]
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, ids`` (little-endian, two or four bytes each), the end id included."""
+_COUNTS = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        end = e.kind.type(end_id).tobytes()
-        for ids, texts in _parts(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x + end for x in e.encode(texts)], pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
 
-
-def id_counts(encoded: DataFrame, kind: np.dtype, size: int) -> DataFrame:
-    """``id, n`` over all documents."""
+def encode_ids(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
+    """``doc_id, ids`` (little-endian, two or four bytes each), the end id included; rows with null ``ids`` hold a
+    task's ``counts`` of each id, at most one for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            for s in chunks(pc.binary_length(b.column(0)).to_pylist()):
-                joined = b"".join(b.column(0).slice(s.start, s.stop - s.start).to_pylist())
-                seen += np.bincount(np.frombuffer(joined, dtype=kind), minlength=size)
-        ids = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(seen[ids])], names=["id", "n"])
+        e, seen, names = encoder(path), np.zeros(size, dtype=np.int64), ["doc_id", "ids", "counts"]
+        end = np.array([end_id], dtype=e.kind)
+        for docs, texts in _parts(batches):
+            every = e.encode(texts)
+            seen += np.bincount(np.concatenate(every), minlength=size)
+            seen[end_id] += len(every)
+            blobs = pa.array([np.concatenate([x, end]).tobytes() for x in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([docs, blobs, pa.nulls(len(every), _COUNTS)], names=names)
+        used = np.flatnonzero(seen)
+        cells = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), cells)], names=names)
 
-    return encoded.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids binary, counts array<struct<id:int,n:bigint>>")
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | None = None) -> None:
     """Write the ids of ``docs`` under ``out``: ``ids/part=<n>`` and ``vocabulary`` (rank, id)."""
     spark = docs.sparkSession
     kind, size = encoder(path).kind, max(encoder(path).size, end_id + 1)
-    encoded = stored(encode_ids(docs, path, end_id), "ids")
-    counts = id_counts(encoded, kind, size).orderBy(F.desc("n"), "id").toPandas()  # a row for each id of the vocabulary at most
+    encoded = stored(encode_ids(docs, path, end_id, size), "ids")
+    counts = encoded.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n")).orderBy(F.desc("n"), "id").toPandas()  # a row for each id of the vocabulary at most
     by_rank = counts["id"].to_numpy(dtype=np.int64)
+    encoded = encoded.where("ids is not null").select("doc_id", "ids")
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1).write.parquet(f"{out}/vocabulary")
     ranks = np.zeros(size, dtype=np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))

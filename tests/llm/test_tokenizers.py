@@ -11,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from gridwatch.llm.common import scratch_path
-from gridwatch.llm.id_files import pack, read_ids, unpack, write_ids
+from gridwatch.llm.id_files import Encoder, pack, read_ids, unpack, write_ids
 from gridwatch.llm.pieces import encode_pieces, piece_digests, pieces
 from gridwatch.llm.token_counts import Counter, token_counts
 
@@ -83,6 +83,18 @@ def test_id_files(spark, docs):
         start += len(ids)
 
 
+def test_id_encoder_on_random_texts():
+    """Texts of marks, control characters and letters of several kinds, one by one and together, by a table that starts anew."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(77)
+    some = [*".,<|>'!?", *"aAzZ09éÉßµªÿÀ×÷", *" \n\t\r\x0b\x0c", *map(chr, range(0x1C, 0x20)), *"\x00\x85\xa0\u0301\u3000İΣ日", "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "word", "3,14"]
+    every = ["3,\x1f", ".\x1f\x1f", "\x0c\x1c.", "".join(map(chr, range(256)))] + ["".join(rng.choices(some, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), most=5000)
+    for i in range(0, len(every), 500):
+        for x, got in zip(every[i : i + 500], e.encode(every[i : i + 500]), strict=True):
+            assert got.tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
