@@ -1,23 +1,28 @@
 """N-gram Jaccard join: components of documents whose sets of word n-grams overlap enough.
 
 Documents are rows and n-grams columns of a sparse incidence matrix; two documents link when
-``100 * |A n B| >= percent * |A u B|``. The product of the matrix with its transpose is never formed as
-a whole:
+``100 * |A n B| >= percent * |A u B|``. The product of the matrix with its transpose is taken in blocks, cell by
+cell where a cell can matter:
 
 * Equal rows are one class (a 128-bit digest of the sorted set), whose smallest doc_id stands for it.
 * Columns have one global order: those that many documents share come last, the others by
   hash. A partner must share one of a row's first ``n - ceil(percent * n / 100) + 1`` columns, so only
-  those entries are multiplied (size-derived bound), and a cell is dropped when the set sizes, or what is
+  those entries say which cells are not zero (size-derived bound), and a cell is dropped when the set sizes, or what is
   left after the shared column in both rows, can't reach the overlap needed.
 * A cell whose rows' parity bitmaps (each column flips one of at least ``PARITY_BITS`` bits) differ in more bits than
-  the sizes allow the sets to differ in is dropped before its texts are fetched: another exact bound.
-* Blocks of the product follow the columns. Columns of up to ``SMALL_COLUMN`` entries are multiplied as they
-  are. In a larger column each entry first meets one pivot entry (linear in the entries). Surviving cells get
-  their exact overlap from both texts, read again, and linked rows become components. Further rounds take other pivots, only in
-  large columns that still hold several components; the last round multiplies what is left of those: all cells
-  between rows of different components. A pair with enough overlap shares an early column, so it is in one
-  component or gets verified there; no link between components can be missed. In the last round a large column
-  whose rows stay in many components is expanded into the pairs between them.
+  the sizes allow the sets to differ in is dropped as well: another exact bound.
+* The other cells are multiplied in blocks: a task takes a block of cells with both their rows, numbers the block's
+  columns, looks every entry of one row up in the incidence of the other and accumulates the overlap counts of all
+  cells at once; cells below the bound that follows from both sizes are discarded.
+* Cells of a column are chosen so that no group of similar rows is expanded into pairs. In each of ``rounds`` rounds
+  every entry of a column meets one pivot entry (linear in the entries). Linked rows become components; the pivots
+  leave their columns, as all their cells have been seen, and columns within one component are done. What is left
+  are columns of rows that share it and still are in many components: a block product inside the tasks compares
+  all rows of different components there by size and bitmap, and only cells that may link leave a task. Large
+  columns are dealt out as pairs of blocks of ``BLOCK`` rows.
+
+A pair with enough overlap shares an early column, and there it is in one component, met as a pivot's cell, or
+compared in the last step: no link between components can be missed.
 
 Null or empty texts have an empty set and link with nothing, as do rows with a null doc_id; fewer words
 than ``k`` are one shingle. Rows that repeat a doc_id are one document with links of each of its texts.
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +48,8 @@ from .graph import components
 FREQUENT_COLUMNS = 1 << 18
 #: Bits of a row's parity bitmap, at least; longer rows take a power of two over their size.
 PARITY_BITS = 1024
-#: Entries of a column that is multiplied without pivots.
-SMALL_COLUMN = 24
+#: Rows of a block of a large column in the last step.
+BLOCK = 1000
 #: Documents whose texts are fetched by a broadcast of their ids; beyond it by a shuffled join.
 BROADCAST_IDS = 200_000
 
@@ -148,34 +154,76 @@ def _reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {need}"
 
 
-def _shared_columns(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """The entries ``col, doc, n, pos`` of columns with several documents, and how many (``m``) the column has."""
-    entries = _entries(docs, k, percent, frequent)
-    several = entries.groupBy("col").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("m")).where("low <> high").select("col", "m")
-    return stored(entries.join(stored(several, "columns"), "col"), "shared-columns")
-
-
-def _small_cells(shared: DataFrame, percent: int) -> DataFrame:
-    """All cells of the small columns."""
-    left = shared.where(F.col("m") <= SMALL_COLUMN).select("col", "doc", "n", "pos")
-    right = left.select("col", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos")))
-    cells = left.join(right, "col").where("doc < p_doc").where(_reachable("n", "pos", "p_n", "p_pos", percent))
-    return cells.select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
-
-
 def _round(entries: DataFrame, salt: int) -> DataFrame:
     """Entries of columns with several components (``comp``), each with a pivot entry of its column."""
     pivots = entries.groupBy("col").agg(
         F.min(F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "doc", "n", "pos", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
     pivots = stored(pivots.where("low <> high").select("col", F.col("p.doc").alias("p_doc"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), F.col("p.comp").alias("p_comp")), "pivots")
-    return stored(entries.join(pivots, "col"), "mixed")
+    return stored(entries.join(pivots, "col"), "met")
 
 
 def _cells(met: DataFrame, percent: int) -> DataFrame:
     return met.where("comp <> p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent)).select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
 
 
+def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Cells between rows of different components of what is left of the columns, by size, place and bitmap."""
+    spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    open_ = stored(entries.join(spread.where("low <> high").select("col", "blocks"), "col"), "open-columns")
+    folded = F.substring("parity", 1, PARITY_BITS // 8)  # longer bitmaps are compared afterwards, whole
+    short = rows.where(F.length("parity") == PARITY_BITS // 8).groupBy(F.col("doc_id").alias("doc")).agg(F.min(folded).alias("bits"), F.count("*").alias("k"))
+    bits = open_.select("doc").distinct().join(short.where("k = 1").select("doc", "bits"), "doc")
+    dealt = open_.join(bits, "doc", "left").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("col", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n", "pos", "comp", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = None, set()
+        for b in chain(batches, [None]):
+            t = b if held is None else held if b is None else pa.concat_batches([held, b])
+            if t is None or not t.num_rows:
+                continue
+            key = np.stack([t.column(i).to_numpy() for i in (0, 1, 2)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if b is not None:  # the last column may go on in the next batch
+                held = t.slice(int(cuts[-1]) if len(cuts) else 0)
+            ends = cuts if b is not None else [*cuts, t.num_rows]
+            for x, y in zip([0, *ends], ends, strict=False):
+                pairs = set(_compared(t.slice(x, y - x), percent)) - seen
+                if len(seen) < 1_000_000:
+                    seen |= pairs
+                if pairs:
+                    p, q = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
+
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(parts, "col", "i", "j").sortWithinPartitions("col", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _compared(t: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of documents of one column's block, or two, whose overlap may be enough."""
+    i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+    own, doc, n, pos, comp = (t.column(c).to_numpy() for c in (3, 4, 5, 6, 7))
+    known = pc.is_valid(t.column(8)).to_numpy(zero_copy_only=False)
+    bits = np.zeros((len(doc), PARITY_BITS // 64), dtype=np.uint64)
+    bits[known] = np.frombuffer(b"".join(t.column(8).drop_null().to_pylist()), dtype=np.uint64).reshape(-1, PARITY_BITS // 64)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for s in range(0, len(left), 128):
+        x = left[s : s + 128, None]
+        na, nb = n[x].astype(np.int64), n[right].astype(np.int64)
+        need = percent * (na + nb)
+        ok = (comp[x] != comp[right]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(na - pos[x], nb - pos[right]) >= need)
+        if i == j:
+            ok &= doc[x] < doc[right]
+        p, q = np.nonzero(ok)
+        if len(p):
+            a, b = x[p, 0], right[q]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            keep = ~(known[a] & known[b]) | ((100 + percent) * (n[a].astype(np.int64) + n[b] - apart) >= 2 * percent * (n[a].astype(np.int64) + n[b]))
+            yield from zip(np.minimum(doc[a], doc[b])[keep].tolist(), np.maximum(doc[a], doc[b])[keep].tolist(), strict=True)
+
+
 def _close(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The cells whose parity bitmaps differ in no more bits than the sizes allow."""
     side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
@@ -210,27 +258,36 @@ def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: DataF
             sizes = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist()
             for s in chunks(sizes):
                 part = batch.slice(s.start, s.stop - s.start)
-                rows = {}
-                for i, c in ((0, 2), (1, 3)):
-                    rows |= dict(zip(zip(part.column(i).to_pylist(), part.column(c).to_pylist(), strict=True), [None] * part.num_rows, strict=True))
-                sets = dict(zip(rows, shingles(Words(as_bytes(t for _, t in rows)), k), strict=True))
-                keep = []
-                for a, b, ta, tb in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    x, y = sets[a, ta], sets[b, tb]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    overlap = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(x) else 0
-                    keep.append(overlap > 0 and 100 * overlap >= percent * (len(x) + len(y) - overlap))
-                yield part.select([0, 1]).filter(pa.array(keep))
+                a, b, ta, tb = (c.to_pylist() for c in part.columns)
+                row = {x: k for k, x in enumerate(dict.fromkeys([*zip(a, ta, strict=True), *zip(b, tb, strict=True)]))}
+                sets = shingles(Words(as_bytes(t for _, t in row)), k)
+                i, j = (np.array([row[x] for x in zip(d, t, strict=True)]) for d, t in ((a, ta), (b, tb)))
+                n, both = np.array(list(map(len, sets))), overlaps(sets, i, j)
+                yield part.select([0, 1]).filter(pa.array((both > 0) & (100 * both >= percent * (n[i] + n[j] - both))))
 
     return both.select("a", "b", "text_a", "text_b").where("text_a is not null and text_b is not null").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cells (i, j) of the product of a block's incidence matrix with its transpose; rows are sorted sets of columns."""
+    n = np.array(list(map(len, sets)))
+    if not n.sum():
+        return np.zeros(len(i), dtype=np.int64)
+    columns, number = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(n) - n
+    entries = np.repeat(np.arange(len(sets)), n) * len(columns) + number  # in rising order
+    i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+    cell = np.repeat(np.arange(len(i)), n[i])
+    place = np.arange(len(cell)) - np.repeat(np.cumsum(n[i]) - n[i], n[i]) + start[i][cell]
+    wanted = j[cell] * len(columns) + number[place]
+    at = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+    return np.bincount(cell[entries[at] == wanted], minlength=len(i))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links, itself included)."""
     sets = stored(shingle_sets(docs, k), "sets")
-    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where(F.col("n") > SMALL_COLUMN)
+    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where("n > 24")
     often = often.orderBy(F.desc("n"), "col").limit(FREQUENT_COLUMNS).select("col")
     frequent = np.sort(np.array([r["col"] for r in often.collect()], dtype=np.int64).view(np.uint64))
     sets = sets.where("set_key is not null")
@@ -241,25 +298,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, pivot_rou
     # a doc_id that repeats with several sets ties their classes together
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(ties.select("a").union(ties.select("b")).distinct(), "a", "left_semi").union(ties)
-
-    shared = _shared_columns(docs, k, percent, frequent)
-    large = shared.where(F.col("m") > SMALL_COLUMN).select("col", "doc", "n", "pos")
-    met = _round(large.withColumn("comp", F.col("doc")), 0)
-    cells = _small_cells(shared, percent).union(_cells(met, percent))
-    links = stored(links.union(_verified(docs, rows, classes, cells, k, percent)), "links")
-    labels = components(links)
-    entries = met.select("col", "doc", "n", "pos")
-    for salt in range(1, pivot_rounds + 1):
-        own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
-        met = _round(entries.join(own.withColumnRenamed("doc_id", "doc"), "doc"), salt)
-        entries = met.select("col", "doc", "n", "pos")
-        if salt < pivot_rounds:
+    links = stored(links, "links")
+    labels, entries = components(links), _entries(docs, k, percent, frequent).withColumn("comp", F.col("doc"))
+    for salt in range(rounds + 1):
+        if salt:
+            own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
+            entries = entries.drop("comp").join(own.withColumnRenamed("doc_id", "doc"), "doc")
+        if salt < rounds:
+            met = _round(entries, salt)
+            entries = met.where("doc <> p_doc").select("col", "doc", "n", "pos", "comp")
             cells = _cells(met, percent)
         else:
-            left = met.select("col", "doc", "n", "pos", "comp")
-            right = left.select("col", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos", "comp")))
-            cells = left.join(right, "col").where("comp < p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent))
-            cells = cells.select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
+            cells = _left_cells(entries, rows, percent)
         more = stored(_verified(docs, rows, classes, cells, k, percent), "more-links")
         if more.limit(1).count():
             links = stored(links.union(more), "links")

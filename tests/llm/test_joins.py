@@ -47,16 +47,23 @@ def test_jaccard_in_blocks_and_rounds(spark, monkeypatch):
     """Frequent columns and the shuffled fetch of texts give the same; repeated and null ids don't break it."""
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT_COLUMNS", 50)
-    monkeypatch.setattr(ngram_join, "SMALL_COLUMN", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
     rows = _texts(9, 200)
     docs = spark.createDataFrame([*rows, (None, rows[20][1]), rows[15], rows[15]], "doc_id long, text string").repartition(3)
-    got = jaccard_components(docs, pivot_rounds=1).collect()
+    got = jaccard_components(docs, rounds=0).collect()
     want = brute_force(rows)
     assert len(got) == len(rows) + 3 and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in (0, 1, 5, 40, 60, 200)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    assert ngram_join.overlaps(sets, i, j).tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j, strict=True)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)] + [(1, 1), (5, 4), (4, 5), (None, 3)]
