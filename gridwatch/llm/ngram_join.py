@@ -154,6 +154,12 @@ def _reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {need}"
 
 
+def _shared_columns(entries: DataFrame) -> DataFrame:
+    """The entries of columns with several documents."""
+    several = entries.groupBy("col").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("col")
+    return stored(entries.join(stored(several, "columns"), "col"), "shared-columns")
+
+
 def _round(entries: DataFrame, salt: int) -> DataFrame:
     """Entries of columns with several components (``comp``), each with a pivot entry of its column."""
     pivots = entries.groupBy("col").agg(
@@ -299,7 +305,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: i
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(ties.select("a").union(ties.select("b")).distinct(), "a", "left_semi").union(ties)
     links = stored(links, "links")
-    labels, entries = components(links), _entries(docs, k, percent, frequent).withColumn("comp", F.col("doc"))
+    labels, entries = components(links), _shared_columns(_entries(docs, k, percent, frequent)).withColumn("comp", F.col("doc"))
     for salt in range(rounds + 1):
         if salt:
             own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
