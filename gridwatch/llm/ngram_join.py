@@ -161,9 +161,11 @@ def _shared_columns(entries: DataFrame) -> DataFrame:
 
 
 def _round(entries: DataFrame, salt: int) -> DataFrame:
-    """Entries of columns with several components (``comp``), each with a pivot entry of its column."""
+    """Entries of columns with several components (``comp``), each with a pivot entry of its column. The first round takes
+    the same rows as pivots where it can, so that cells repeat; the others another one in every column, so that a row meets many."""
+    order = F.xxhash64("doc", *(["col"] if salt else []), F.lit(salt))
     pivots = entries.groupBy("col").agg(
-        F.min(F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "doc", "n", "pos", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        F.min(F.struct(order.alias("h"), "doc", "n", "pos", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
     pivots = stored(pivots.where("low <> high").select("col", F.col("p.doc").alias("p_doc"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), F.col("p.comp").alias("p_comp")), "pivots")
     return stored(entries.join(pivots, "col"), "met")
