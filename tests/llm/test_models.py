@@ -111,10 +111,10 @@ def test_token_probabilities_sum_to_one():
     for c in ((3, 4, 5), (ctx.START, ctx.START, 0), (900, 7, 1)):
         columns = [np.concatenate([x, np.full(k, v)]) for x, v in zip((before, last, often), c, strict=True)]
         train = np.arange(4000 + k) < 4000
-        for block in (30_000, 611):
-            cost = ctx.Shard(lex, *columns, np.concatenate([token, every]), train, block).costs()[4000:]
+        for block, piece in ((30_000, 400_000), (611, 1500)):
+            cost = ctx.Shard(lex, *columns, np.concatenate([token, every]), train, block, piece).costs()[4000:]
             assert (10**-cost).sum() == pytest.approx(1, abs=2e-3)  # bits of probability under 1e-6 count as that
-    table = rng.integers(0, 50, 2 * ctx._SLOTS).astype(np.uint16)
+    table = ctx._pairs(rng.integers(0, 50, 2 * ctx._SLOTS))
     m = ctx.Mixer(4)
     e = ctx.Letters([bytes([b]) for b in range(256)])
     first = sum(m.cost(*ctx._letter_inputs(e, k, table, False))[e.first] for k in range(8))
