@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its ``depth`` nearest of ``pivots`` reference points, in order of nearness. The
-reference points come from a bounded sample (``pivots`` distinct vectors in hash order; directions drawn
+A vector is described by its ``depth`` nearest of the reference points, in order of nearness. There are about twice as
+many of these as the square root of the number of vectors (a power of two, from 64 to ``MOST_PIVOTS``), so that lists grow with that root
+too; they come from a sample of that size (distinct vectors in hash order; directions drawn
 from a fixed seed fill up a dimension with fewer). Every vector is indexed: it stands in the inverted lists
 of its first ``depth - shared + 1`` reference points by number, so two vectors with ``shared`` common ones
 meet in a list. Lists are dealt out in blocks of about ``block`` entries, and a task takes two blocks of one
@@ -12,7 +13,7 @@ leave a task, never the pairs. Equal vectors of a label are one entry that carri
 
 Vectors link only within equal non-null labels and equal dimension. Vectors that are null, empty, all zero,
 or hold null or non-finite components link with nothing, as do null labels. Rows that repeat a vec_id are
-taken as vectors of their own with one component. Other columns are ignored; an empty table gives an empty
+taken as vectors of their own, with links of their own, and one component. Other columns are ignored; an empty table gives an empty
 result. The recall against brute force is measured in the tests.
 """
 
@@ -29,6 +30,10 @@ from .common import stored
 from .graph import components
 
 
+#: Reference points at most: what is broadcast.
+MOST_PIVOTS = 1 << 15
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -47,14 +52,17 @@ def _drawn(dimension: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((n, dimension))
 
 
-def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int = 64, depth: int = 8, shared: int = 3, block: int = 500, seed: int = 7) -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int | None = None, depth: int = 8, shared: int = 3, block: int = 1000, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     spark = rows.sparkSession
     given = rows.select(rows["vec_id"].cast("bigint").alias("vec_id"), rows["embedding"].cast("array<double>").alias("vector"), rows["label"].cast("string").alias("label"))
     sound = given.where("vec_id is not null and label is not null and size(vector) > 0").where(
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
     )
-    entries = stored(sound.groupBy("label", "vector").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies")), "entries")
+    # numbers of distinct vectors: they stay as they are, as the table is written before it is used
+    entries = stored(sound.groupBy("label", "vector").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies")).withColumn("entry", F.monotonically_increasing_id()), "entries")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(64, 1 << int(np.ceil(np.log2(2 * max(entries.count(), 1) ** 0.5)))))
     shared_refs = spark.sparkContext.broadcast(_references(entries, pivots, seed))
     keep = depth - shared + 1
 
@@ -66,7 +74,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int
                 near = np.argsort(-(_unit(np.stack(part["vector"].to_numpy())) @ refs.T), axis=1, kind="stable")[:, :depth]
                 yield part.assign(near=list(near.astype(np.int32)), lists=list(np.sort(near, axis=1)[:, :keep].astype(np.int32)))
 
-    described = entries.mapInPandas(describe, "label string, vector array<double>, entry bigint, copies bigint, near array<int>, lists array<int>")
+    described = entries.select("label", "vector", "entry", "copies").mapInPandas(describe, "label string, vector array<double>, entry bigint, copies bigint, near array<int>, lists array<int>")
     listed = stored(described.select("label", F.size("vector").alias("dim"), "entry", "copies", "vector", "near", F.explode("lists").alias("pivot")), "lists")
     sizes = listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = stored(sizes, "list-sizes")
@@ -78,9 +86,9 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, _, pivot, i, j = key
         a, b = part[part["own"] == i], part[part["own"] == j]
-        ia, ib = (_incidence(x["near"], pivots) for x in (a, b))
+        ia, ib, early = _incidence(a["near"], b["near"], pivot)
         xa, xb = (np.stack(x["vector"].to_numpy()) if len(x) else np.zeros((0, key[1])) for x in (a, b))
-        hits = (ia @ ib.T >= shared) & (ia[:, :pivot] @ ib[:, :pivot].T == 0)
+        hits = (ia @ ib.T >= shared) & (ia[:, :early] @ ib[:, :early].T == 0)
         if i == j:
             np.fill_diagonal(hits, False)
         p, q = np.nonzero(hits)
@@ -104,10 +112,16 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int
 
     found = dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(verify, "entry bigint, low bigint, links bigint")
     found = stored(found, "found")
-    labels = components(found.select(F.col("entry").alias("a"), F.col("low").alias("b")).where("a <> b"))
-    linked = found.groupBy("entry").agg(F.sum("links").alias("links")).join(labels, F.col("entry") == F.col("node"), "left").select("entry", "links", "component")
-    by_entry = stored(entries.join(linked, "entry", "left").select("label", "vector", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "entry").alias("component")), "by-entry")
-    out = sound.join(by_entry, ["label", "vector"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    # a vec_id that repeats with several vectors ties their components together
+    ids = stored(sound.join(entries.select("label", "vector", "entry"), ["label", "vector"]).select("vec_id", "entry"), "ids")
+    several = ids.groupBy("vec_id").agg(F.min("entry").alias("a"), F.max("entry").alias("b")).where("a <> b").select("vec_id", "a")
+    ties = ids.join(several, "vec_id").select("a", F.col("entry").alias("b"))
+    labels = components(found.select(F.col("entry").alias("a"), F.col("low").alias("b")).union(ties).where("a <> b"))
+    links = found.groupBy("entry").agg(F.sum("links").alias("links"))
+    whole = entries.select("entry", "low_id", "copies").join(links, "entry", "left").join(labels, F.col("entry") == F.col("node"), "left")
+    whole = stored(whole.select("entry", "low_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component")), "by-entry")
+    lowest = whole.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    out = ids.join(whole.join(lowest, "component").select("entry", "n_links", "component_id"), "entry").select("vec_id", "n_links", "component_id")
     rest = given.where("vec_id is null").select("vec_id").unionAll(
         given.where("vec_id is not null").where(
             ~F.coalesce((F.size("vector") > 0) & F.col("label").isNotNull() & F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists("vector", lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(False))
@@ -117,11 +131,16 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, pivots: int
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _incidence(near: pd.Series, n: int) -> np.ndarray:
-    out = np.zeros((len(near), n), dtype=np.float32)
-    if len(near):
-        np.put_along_axis(out, np.stack(near.to_numpy()), 1, axis=1)
-    return out
+def _incidence(a: pd.Series, b: pd.Series, pivot: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which of the reference points in use, by number, each vector of both blocks has, and how many come before ``pivot``."""
+    near = [np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1), dtype=np.int32) for x in (a, b)]
+    used = np.unique(np.concatenate([x.ravel() for x in near]))
+    out = []
+    for x in near:
+        m = np.zeros((len(x), len(used)), dtype=np.float32)
+        np.put_along_axis(m, np.searchsorted(used, x), 1, axis=1)
+        out.append(m)
+    return *out, int(np.searchsorted(used, pivot))
 
 
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -91,8 +91,8 @@ def test_vectors(spark):
     lab = np.array([r[2] for r in rows])
     links = (e @ e.T >= 0.98) & (lab[:, None] == lab[None, :])
     np.fill_diagonal(links, False)
-    for block in (1500, 40):
-        got = {r.vec_id: r for r in near_duplicate_vectors(table, block=block).collect()}
+    for block, pivots in ((1000, None), (40, 300)):
+        got = {r.vec_id: r for r in near_duplicate_vectors(table, block=block, pivots=pivots).collect()}
         assert len(got) == len(rows) + len(odd)
         n = np.array([got[i].n_links for i in ids])
         assert (n <= links.sum(axis=1)).all() and n.sum() >= 0.97 * links.sum() and links.sum() > 500
@@ -102,6 +102,8 @@ def test_vectors(spark):
             assert min(same) == got[i].component_id
         assert all((got[r[0]].n_links, got[r[0]].component_id) == (0, r[0]) for r in odd if r[0] not in (1006, 1007))
         assert got[1007].component_id == 1006 and got[1006].n_links == 1
+    few = spark.createDataFrame([(1, [1.0, 0.0, 0.1], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.0, 0.11], 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(few).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
     assert near_duplicate_vectors(table.limit(0)).count() == 0
     assert vectors._cosine(np.ones((1, 2)), np.ones((1, 2)))[0] == pytest.approx(1)
 
