@@ -1,12 +1,12 @@
 """Token counts of whole documents by a byte-level BPE tokenizer file, with overlap resynchronisation.
 
-Documents longer than ``chunk_chars`` are encoded as overlapping chunks with offsets. Two neighbouring
-chunks are spliced at a boundary where both have a token edge and which is stable whatever stands to
-either side: a single space between two characters that aren't white space. The pre-tokenizer always
-begins a piece at that space and no piece runs across it, so tokens before it come from the left chunk
-and the others from the right. Where an overlap has no such edge it is doubled, and chunks that still
-don't align become one. Shorter documents are one chunk. Within a chunk the library encodes each
-distinct stretch between stable boundaries once (a bounded table for each worker).
+A document of up to ``chunk_chars`` characters is encoded as it is. A longer one is encoded as overlapping
+chunks with offsets, each by the library as a text of its own. Two neighbouring chunks are spliced at a place
+in their overlap where both encodings have a token edge and which is stable whatever stands to either side: a single space
+between two characters that aren't white space. The pre-tokenizer begins a piece at such a space and no piece
+runs across it, so tokens before it come from the left chunk and the others from the right;
+``edges_are_stable`` proves this from the tokenizer's file, and without that proof every document is encoded whole.
+Where an overlap has no such edge it is doubled, and chunks that still don't align become one.
 
 Null and empty texts have 0 bytes and 0 tokens. Special strings inside texts are handled as the library
 does by default. Repeated rows give repeated results; other columns are ignored; an empty table gives
@@ -15,6 +15,7 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,17 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks
-from .units import UnitTable
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks int"
-_TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _units(text: str) -> list[str]:
-    """Stretches between stable boundaries; all but the first begin with the boundary's space."""
-    parts = _STABLE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-    return parts
+def edges_are_stable(tokenizer) -> bool:
+    """Nothing rewrites the text before it is cut; a byte-level pre-tokenizer cuts it by its own pattern, in which a
+    space stands only at the start of a piece that goes on without white space, or in a run of white space; no
+    special string holds a space or takes one in. A single space inside a text is then always the start of a piece."""
+    spec = json.loads(tokenizer.to_str())
+    cut = spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return bool(plain and added and spec["normalizer"] is None and spec["post_processor"] is None)
 
 
 class Counter:
@@ -47,79 +51,48 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk_chars, self.overlap = chunk_chars, overlap
-        self.later = UnitTable(lambda u: [len(e.ids) for e in self.tokenizer.encode_batch_fast([f" {x}" for x in u], add_special_tokens=False)], 48 << 20, 160, 1)
-        self.edges = UnitTable(lambda u: [self._ends(e) for e in self.tokenizer.encode_batch(u, add_special_tokens=False)], 16 << 20, 250, 8)
-
-    @staticmethod
-    def _ends(encoding) -> np.ndarray:
-        return np.array([b for _, b in encoding.offsets], dtype=np.int64)
-
-    def direct(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
+        self.stable = edges_are_stable(self.tokenizer)
 
     def ends(self, text: str) -> np.ndarray:
         """Offsets at which the tokens of a chunk end, in order."""
-        parts = _units(text)
-        parts = [parts[0], *(f" {p}" for p in parts[1:])]
-        self.edges.cover(set(parts))
-        at, out = 0, []
-        for p in parts:
-            out.append(self.edges[p] + at)
-            at += len(p)
-        return np.concatenate(out)
+        return np.array([b for _, b in self.tokenizer.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
 
     def spliced(self, text: str) -> tuple[int, int]:
         """Tokens of a long text, and the chunks it took."""
-        spans, start = [], 0
-        while start < len(text):
-            spans.append((start, min(start + self.chunk_chars, len(text))))
-            start = spans[-1][1]
-        total = done = n = 0
-        left, ends, overlap, i = 0, self.ends(text[: spans[0][1]]), self.overlap, 1
-        stop = spans[0][1]
-        while i < len(spans):
-            begin = max(done, stop - overlap, left)
-            right = self.ends(text[begin : spans[i][1]]) + begin
-            cut = self._common(text, begin, stop, ends, right)
-            if cut is None:
-                if begin > max(done, left):
+        stops = [*range(self.chunk_chars, len(text), self.chunk_chars), len(text)]
+        total, skip, n = 0, 0, 1  # skip: tokens of the left chunk that are counted already
+        left, stop, overlap, i = 0, stops[0], self.overlap, 1
+        ends, cut = self.ends(text[:stop]), 0
+        while i < len(stops):
+            begin = max(cut, stop - overlap)
+            right = self.ends(text[begin : stops[i]]) + begin
+            found = self._common(text, begin, stop, ends, right)
+            if found is None:
+                if begin > cut:
                     overlap *= 2  # widen and encode the right chunk again
                     continue
-                ends, stop = self.ends(text[left : spans[i][1]]) + left, spans[i][1]  # one chunk of both
+                ends, stop = self.ends(text[left : stops[i]]) + left, stops[i]  # one chunk of both
             else:
-                total += int(np.count_nonzero((ends > done) & (ends <= cut)))
-                done, left, ends, stop, n = cut, begin, right, spans[i][1], n + 1
+                cut, before, after = found
+                total += before - skip
+                ends, skip, left, stop, n = right, after, begin, stops[i], n + 1
             overlap, i = self.overlap, i + 1
-        return total + int(np.count_nonzero(ends > done)), n + 1
+        return total + len(ends) - skip, n
 
     @staticmethod
-    def _common(text: str, begin: int, stop: int, left: np.ndarray, right: np.ndarray) -> int | None:
-        """The last stable boundary inside the overlap at which both chunks have a token edge."""
+    def _common(text: str, begin: int, stop: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int, int] | None:
+        """The last stable place inside the overlap at which both chunks have a token edge, and the tokens of each before it."""
         for m in reversed(list(_STABLE.finditer(text, begin, stop))):
             p = m.start()
-            if p > begin and _has(left, p) and _has(right, p):
-                return p
+            a, b = np.flatnonzero(left == p), np.flatnonzero(right == p)
+            if p > begin and len(a) and len(b):
+                return p, int(a[-1]) + 1, int(b[-1]) + 1
         return None
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        long = {i for i, t in enumerate(texts) if len(t) > self.chunk_chars}
-        parts = [[] if i in long or not t else _units(t) for i, t in enumerate(texts)]
-        self.later.cover(set().union(*(p[1:] for p in parts)))
-        firsts = [p[0] for p in parts if p and p[0]]
-        heads = iter(self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False))
-        get = self.later.__getitem__
-        out = []
-        for i, (t, p) in enumerate(zip(texts, parts, strict=True)):
-            if i in long:
-                out.append(self.spliced(t))
-            else:
-                out.append(((len(next(heads).ids) if p and p[0] else 0) + sum(map(get, p[1:])), int(bool(t))))
-        return out
-
-
-def _has(ends: np.ndarray, p: int) -> bool:
-    i = np.searchsorted(ends, p)
-    return bool(i < len(ends) and ends[i] == p)
+        long = {i for i, t in enumerate(texts) if self.stable and len(t) > self.chunk_chars}
+        whole = iter(self.tokenizer.encode_batch_fast([t for i, t in enumerate(texts) if i not in long], add_special_tokens=False))
+        return [self.spliced(t) if i in long else (len(next(whole)), int(bool(t))) for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +100,7 @@ def counter(path: str, chunk_chars: int, overlap: int) -> Counter:
     return Counter(path, chunk_chars, overlap)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_chars: int = 1 << 16, overlap: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_chars: int = 1 << 15, overlap: int = 256) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` (more tokens than ``limit``) and ``n_chunks`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

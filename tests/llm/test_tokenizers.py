@@ -46,6 +46,20 @@ def test_splicing_widens_and_merges():
     assert n == len(c.tokenizer.encode(long, add_special_tokens=False).ids) and 3 < chunks < len(long) // 50
 
 
+def test_splices_agree_with_the_library():
+    """Random texts in chunks of a few characters, where most overlaps have to be widened or merged."""
+    c = Counter(public_tokenizers.path("byte_bpe_50k.json"), 12, 3)
+    assert c.stable
+    rng = random.Random(12)
+    some = [*"ab'.,  \n\t1é日😀", " ", " ", "the", " house", "<|endoftext|>", "'s", "\u3000", "\x1c", "  "]
+    every = ["".join(rng.choices(some, k=rng.randrange(90))) for _ in range(3000)]
+    spliced = 0
+    for t, (n, chunks) in zip(every, c.count(every), strict=True):
+        assert n == len(c.tokenizer.encode(t, add_special_tokens=False).ids), t
+        spliced += chunks > 2
+    assert spliced > 1000
+
+
 def test_pieces(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
