@@ -11,7 +11,8 @@ were inserted or left out start another diagonal.
 
 Result: one row for each document and item that match, with the place of the match, the item's words that
 equal the document's, and those of the item covered by good windows. Items with the same words count as
-their smallest item_id; items with fewer than ``LEAST_WORDS`` words identify nothing. Null or empty texts and
+their smallest item_id; items with fewer than ``least_words`` words identify nothing, as clean documents hold one or
+two given words by chance (1 makes every item count). Null or empty texts and
 null ids match nothing; rows that repeat a doc_id give one row with the best match. Other columns are
 ignored; an empty table on either side gives an empty result.
 """
@@ -31,7 +32,6 @@ from .common import ALPHANUMERIC, Words, as_bytes, chunks, mix, stored
 #: Positions that a mask takes (1) or ignores (0). The last two are laid over items of 8 to 11 words only, where the others miss some substitutions.
 MASKS = ("111111", "1110111", "11010111", "1011010011", "11001000111", "1111", "11011")
 _SHORT, _SHORT_ITEMS = (5, 6), range(8, 12)
-LEAST_WORDS = 3
 _SHORTEST = min(map(len, MASKS))
 _FACTORS = np.random.default_rng(99).integers(1, 1 << 63, (len(MASKS) + 1, 16), dtype=np.uint64) | np.uint64(1)
 
@@ -50,14 +50,14 @@ def _seeds(h: np.ndarray, mask: int) -> np.ndarray:
 
 def _kinds(n: int) -> list[int]:
     """The masks that an item of ``n`` words is hashed with."""
-    return [m for m in range(len(MASKS)) if len(MASKS[m]) <= n and (m not in _SHORT or n in _SHORT_ITEMS)] or ([-n] if n >= LEAST_WORDS else [])
+    return [m for m in range(len(MASKS)) if len(MASKS[m]) <= n and (m not in _SHORT or n in _SHORT_ITEMS)] or [-n]
 
 
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def item_words(items: DataFrame) -> DataFrame:
+def item_words(items: DataFrame, least_words: int) -> DataFrame:
     """``item_id, words``: word hashes of each distinct sequence of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def item_words(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.hashes[x:y].view(np.int64) for x, y in zip(w.first[:-1], w.first[1:], strict=True)], pa.list_(pa.int64()))], names=["item_id", "words"])
 
     words = items.select(items["item_id"].cast("bigint"), items["text"].cast("string")).where("item_id is not null").mapInArrow(run, "item_id bigint, words array<bigint>")
-    return words.where(F.size("words") >= LEAST_WORDS).groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+    return words.where(F.size("words") >= max(least_words, 1)).groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
@@ -87,10 +87,10 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "seed bigint, item_id bigint, item_pos int, kind int")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, agreement: float = 0.8, max_filter_bits: int = 27) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, agreement: float = 0.8, max_filter_bits: int = 27, least_words: int = 3) -> DataFrame:
     """``doc_id, item_id, doc_word, n_equal, n_covered, item_words`` of every document and item that match."""
     spark = docs.sparkSession
-    items = stored(item_words(items), "items")
+    items = stored(item_words(items, least_words), "items")
     seeds = stored(_item_seeds(items), "seeds")
     n = seeds.count()
     kinds = sorted(r["kind"] for r in seeds.select("kind").distinct().collect())  # at most a value for each mask and short length

@@ -16,7 +16,7 @@ from .id_files import read_ids, write_ids
 from .language_id import language_of
 from .ngram_join import jaccard_components
 from .pieces import piece_digests
-from .quotations import reply_ordered
+from .quotations import conversations
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .vectors import near_duplicate_vectors
@@ -35,7 +35,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reply_ordered(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ that its outermost linked passages quote; without any it stands in the main line
 Replies come right after what they reply to: ``path`` holds the turns from a message's outermost ancestor
 to itself, and arrays in that order read a conversation with each reply under its message. Paths are built by
 doubling, so their rounds grow with the logarithm of the depth; no conversation is gathered in one task.
-``formatted`` is the message in a role template without quotes and without the lines that announce them.
+``formatted`` is the message in a role template without quotes and without the lines that announce them;
+``conversations`` joins them in that order. The paths of a chain of replies take the square of its length.
 
 Null texts count as empty; a message with no own text keeps its row. Null conv_id or turn: the row links with
 nothing and its path is its turn. Rows that repeat a conversation and turn are kept; links go to the turn.
@@ -150,3 +151,19 @@ def reply_ordered(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", m
     text = F.concat(F.lit(before), F.coalesce("role", F.lit("")), F.lit(between), "own", F.lit(after))
     path = F.coalesce("path", F.array("turn"))
     return out.select("conv_id", "turn", "role", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "reply_to", (F.size(path) - 1).alias("depth"), path.alias("path"), text.alias("formatted"))
+
+
+def conversations(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", turns_a_part: int = 1000) -> DataFrame:
+    """``conv_id, part, n_messages, n_linked, turns, text``: each conversation in reply order without quotes.
+
+    Messages of ``turns_a_part`` turns of the main line, with all replies to them, make a part, so that a long conversation is
+    several rows, in order of ``part``. A message without conv_id is a conversation of its own."""
+    rows = reply_ordered(messages, template)
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    part = F.coalesce(F.floor(F.get("path", F.lit(0)) / turns_a_part), F.lit(0)).cast("bigint")
+    in_order = F.array_sort(F.collect_list(F.struct("path", "turn", "formatted", "n_linked")))
+    one = rows.groupBy("conv_id", part.alias("part"), alone.alias("alone")).agg(in_order.alias("m"))
+    return one.select(
+        "conv_id", "part", F.size("m").alias("n_messages"), F.aggregate("m", F.lit(0).cast("bigint"), lambda n, x: n + x["n_linked"]).alias("n_linked"),
+        F.transform("m", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("m", lambda x: x["formatted"]), "").alias("text"),
+    )

@@ -30,3 +30,10 @@ def test_short_item_is_found(spark):
     docs = spark.createDataFrame([(1, "x y " + item.replace("zeta", "other", 1) + " z"), (2, item.replace("zeta", "other").replace("beta", "b"))], "doc_id long, text string")
     got = dc.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.n_equal) for r in got] == [(1, 7, 7)]
+
+
+def test_items_of_one_or_two_words(spark):
+    docs = spark.createDataFrame([(1, "an Xylograph, here"), (2, "two words stand"), (3, "words two stand")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "xylograph"), (8, "two words")], "item_id long, text string")
+    assert dc.contaminated(docs, items).count() == 0
+    assert sorted((r.doc_id, r.item_id) for r in dc.contaminated(docs, items, least_words=1).collect()) == [(1, 7), (2, 8)]
