@@ -5,7 +5,7 @@ model has a marker after another character, merges never cross from a word to th
 text is the concatenation of marked words (a run of markers and the characters up to the next one) and
 each distinct marked word needs to be segmented and decoded only once; ids and decoded text are joined
 back by position. ``marked_words_are_independent`` proves this from the vocabulary, and a model that
-fails it is encoded text by text. The table lives in each Python worker and is bounded: a table over all
+fails it is encoded text by text. The table lives in each Python worker for a task and is bounded in bytes: a table over all
 documents would move every position of every text through a shuffle for the same ids.
 
 Null and empty texts have no ids and an empty decoded text. Repeated rows give repeated results; other
@@ -32,7 +32,7 @@ _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = 48 << 20):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,6 +91,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, every)]) // 4
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([ids, lists, pa.array(["".join([e[3] for e in r])[1:] for r in rows], pa.string())], names=["doc_id", "ids", "decoded"])
+        p.table.release()
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
@@ -111,6 +112,7 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        p.table.release()
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

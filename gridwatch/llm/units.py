@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
+from contextlib import suppress
 from typing import Any
 
 
@@ -34,5 +36,12 @@ class UnitTable(dict):
             order = list(missing)
             self.update(zip(order, self.encode(order), strict=True))
 
+    def release(self) -> None:
+        """Give the memory back at the end of a task: a worker may run other operators next."""
+        self.clear()
+        self.held, self.long = 0, []
+        with suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
     def _size(self, units: set[str]) -> int:
         return len(units) * self.overhead + self.factor * sum(map(len, units))
