@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import f_tail, pearson_p
 from .binning import into_bins, quantile_edges
+from .scratch import kept
 from .windows import lag_matrix, shifted
 
 
@@ -50,7 +51,7 @@ def granger(df: DataFrame, y: str, x: str, max_lag: int = 4, link: str = "", ts:
     The lags are columns of one window; each order takes one aggregation of centred products, and a solve of at
     most ``2 * max_lag`` unknowns. A row of nulls stands where there are too few rows or no residual is left.
     """
-    base = lag_matrix(df.select(*series, ts, x, y).dropna(), [x, y], max_lag, ts, series)
+    base = kept(lag_matrix(df.select(*series, ts, x, y).dropna(), [x, y], max_lag, ts, series), "lags")  # each order reads it twice
     out = []
     for k in range(1, max_lag + 1):
         own, other = [f"{y}_{j}" for j in range(1, k + 1)], [f"{x}_{j}" for j in range(1, k + 1)]

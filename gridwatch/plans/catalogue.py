@@ -40,12 +40,14 @@ def query(sql: str | None = None, doubles: str = "", others: str = "") -> Callab
 
 
 def queries() -> dict[str, Query]:
-    from . import models  # noqa: F401  registers the queries of trained operators
+    from . import checks, models  # noqa: F401  register further queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import checks  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -212,7 +214,7 @@ def rate_gap(spark, d):
     return aggregates.rate_gap(t.where(F.expr(f"l_shipdate < {_SPLIT}")), t.where(F.expr(f"l_shipdate >= {_SPLIT}")), F.col("l_discount") > 0.05)
 
 
-@query(f"{pn.FEATURES} ### select min(ts) filter (ts < timestamp '2024-01-21') as train_min, max(ts) filter (ts < timestamp '2024-01-21') as train_max, min(ts) filter (ts >= timestamp '2024-01-21') as val_min, max(ts) filter (ts >= timestamp '2024-01-21') as val_max, false as overlap from features", "", "train_min train_max val_min val_max overlap")
+@query(f"{pn.FEATURES} ### select min(ts) filter (ts < timestamp '2024-01-21') as train_min, max(ts) filter (ts < timestamp '2024-01-21') as train_max, min(ts) filter (ts >= timestamp '2024-01-21') as val_min, max(ts) filter (ts >= timestamp '2024-01-21') as val_max, min(ts) filter (ts >= timestamp '2024-01-21') <= max(ts) filter (ts < timestamp '2024-01-21') as overlap from features", "", "train_min train_max val_min val_max overlap")
 def range_overlap(spark, d):
     f, cut = pn.features(spark, d), F.lit("2024-01-21").cast("timestamp_ntz")
     return aggregates.range_overlap(f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import time_parts
 from ..operators.aggregates import fixed_label
 from ..operators.blocks import filled_forward
+from ..operators.scratch import kept
 from ..operators.timegrid import grid_of, slot
 
 TYPES = {"price": "purchase", "flow_in": "click", "flow_out": "view", "sched": "signup", "upstream_error": "error"}
@@ -26,7 +27,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filled_forward(panel(spark, sf_dir), COLUMNS)
+    """The panel with gaps filled forward. Both are written once: what follows reads each several times."""
+    return kept(filled_forward(kept(panel(spark, sf_dir), "panel"), COLUMNS), "filled-panel")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
