@@ -9,7 +9,7 @@ def test_twins_have_queries():
 
 
 def test_without_corpus_operators(monkeypatch):
-    monkeypatch.setattr(entry, "_LLM", False)
+    monkeypatch.setattr(entry, "llm", None)
     names = set(entry.queries())
     assert "spike_quintile_lift" in names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
 
