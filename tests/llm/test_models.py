@@ -112,7 +112,7 @@ def test_token_probabilities_sum_to_one():
         columns = [np.concatenate([x, np.full(k, v)]) for x, v in zip((before, last, often), c, strict=True)]
         train = np.arange(4000 + k) < 4000
         for block, piece in ((30_000, 400_000), (611, 1500)):
-            cost = ctx.Shard(lex, *columns, np.concatenate([token, every]), train, block, piece).costs()[4000:]
+            cost = ctx.Shard(lex, *columns, np.concatenate([token, every]), train, block, piece).costs(ctx.Mixer(4))[4000:]
             assert (10**-cost).sum() == pytest.approx(1, abs=2e-3)  # bits of probability under 1e-6 count as that
     table = ctx._pairs(rng.integers(0, 50, 2 * ctx._SLOTS))
     m = ctx.Mixer(4)
@@ -126,9 +126,9 @@ def test_contexts_count():
     lex, rng = _lexicon()
     noise = [rng.integers(1, 300, 3000) for _ in range(4)]
     seen = np.tile([[11], [12], [1], [250]], 40)
-    cost = lambda *rows: ctx.Shard(lex, *np.concatenate([np.stack(noise), *rows], axis=1), np.arange(3000 + sum(r.shape[1] for r in rows)) < 3000 + seen.shape[1]).costs()
+    cost = lambda *rows: ctx.Shard(lex, *np.concatenate([np.stack(noise), *rows], axis=1), np.arange(3000 + sum(r.shape[1] for r in rows)) < 3000 + seen.shape[1]).costs(ctx.Mixer(4))
     with_it = cost(seen, np.array([[11, 13], [12, 12], [1, 1], [250, 250]]))
-    without = ctx.Shard(lex, *np.concatenate([np.stack(noise), np.array([[11], [12], [1], [250]])], axis=1), np.arange(3001) < 3001).costs()
+    without = ctx.Shard(lex, *np.concatenate([np.stack(noise), np.array([[11], [12], [1], [250]])], axis=1), np.arange(3001) < 3001).costs(ctx.Mixer(4))
     assert with_it[-2] < 0.3 and without[-1] > 2 and with_it[-2] <= with_it[-1] < without[-1]
 
 
