@@ -14,6 +14,8 @@ from .context_mixing import lm_scores
 from .decontaminate import contaminated
 from .id_files import read_ids, write_ids
 from .language_id import language_of
+from .lexical_search import SQL as LEXICAL_SEARCH_SQL
+from .lexical_search import lexical_search
 from .ngram_join import jaccard_components
 from .pieces import piece_digests
 from .quotations import conversations
@@ -64,14 +66,18 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, pipeline)
+    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, op11_lexical_search, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op11_lexical_search": LEXICAL_SEARCH_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
