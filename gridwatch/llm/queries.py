@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .common import scratch_path, table
 from .context_mixing import lm_scores
+from .conversation_repair import repaired_conversations
 from .decontaminate import contaminated
 from .id_files import read_ids, write_ids
 from .language_id import language_of
@@ -70,12 +71,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, op11_lexical_search, pipeline)
+    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, op11_lexical_search, op12_conversation_repair, pipeline)
     return {f.__name__: f for f in every}
 
 
