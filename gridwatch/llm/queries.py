@@ -18,6 +18,8 @@ from .language_id import language_of
 from .lexical_search import SQL as LEXICAL_SEARCH_SQL
 from .lexical_search import lexical_search
 from .ngram_join import jaccard_components
+from .packing import packed_sequences
+from .packing import piece_digests as packed_pieces
 from .pieces import piece_digests
 from .quotations import conversations
 from .token_counts import token_counts
@@ -75,12 +77,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, op11_lexical_search, op12_conversation_repair, pipeline)
+    every = (op1_toxicity, op2_ngram_join, op3_pieces, op4_quotations, op5_context_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_id_files, op10_vectors, op11_lexical_search, op12_conversation_repair, op13_packing, pipeline)
     return {f.__name__: f for f in every}
 
 
