@@ -19,7 +19,6 @@ from itertools import chain
 import numpy as np
 
 from .common import Words
-from .id_files import Encoder
 from .token_counts import edges_are_stable
 
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER, _BREAK = range(6)
@@ -79,10 +78,12 @@ class Units(Words):
         self.hashes = self._hash()
 
 
-class ByteEncoder(Encoder):
-    """Ids of whole texts, with a table of distinct units of at most ``most`` entries."""
+class ByteEncoder:
+    """Ids of whole texts, with a table of distinct units: sorted hashes beside the places of their ids in one pool. The latest
+    units stand in a small table of their own, merged into the large one when it fills. A table of ``most`` units
+    starts anew, with the same results."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,9 +98,51 @@ class ByteEncoder(Encoder):
         self.find = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._clear()
 
-    def _add(self, keys: list[int], units: list[str]) -> None:
+    def _clear(self) -> None:
+        none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        self.old, self.new = none, none  # hashes, places in the pool, numbers of ids
+        self.pool, self.used = np.zeros(1 << 16, dtype=self.kind), 0
+
+    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each unit; a place of -1 where it isn't known."""
+        place, n = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        for keys, places, lengths in (self.old, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == hashes)
+                place[hit], n[hit] = places[at[hit]], lengths[at[hit]]
+        return place, n
+
+    def _add(self, hashes: np.ndarray, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         every = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        self._keep(keys, np.array(list(map(len, every))), np.array(list(chain.from_iterable(every)), dtype=self.kind))
+        n = np.array(list(map(len, every)), dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(every), dtype=self.kind, count=int(n.sum()))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), dtype=self.kind)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        place = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.new = self._merged(self.new, (hashes, place, n))
+        if len(self.new[0]) > max(1 << 15, len(self.old[0]) // 8):
+            self.old, self.new = self._merged(self.old, self.new), tuple(x[:0] for x in self.new)
+        return place, n
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))
+
+    def _places(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        hashes, first, at = np.unique(units.hashes, return_index=True, return_inverse=True)
+        if len(self.old[0]) + len(self.new[0]) + len(hashes) > self.most or self.used > 8 * self.most:
+            self._clear()
+        place, n = self._lookup(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            spans = zip(units.starts[first[missing]].tolist(), units.ends[first[missing]].tolist(), strict=True)
+            place[missing], n[missing] = self._add(hashes[missing], [units.joined[x:y].decode() for x, y in spans])
+        return place[at], n[at]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings."""
@@ -123,10 +166,6 @@ class ByteEncoder(Encoder):
             out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
         return out
 
-    def release(self) -> None:
-        """Give the table back at the end of a task: a worker may run other operators next."""
-        self._clear()
-
 
 @lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteEncoder:

@@ -52,7 +52,6 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                     rows += [(doc, i, min(capacity, len(ids) - i), len(ids), ids[i : i + capacity].tobytes()) for i in range(0, len(ids), capacity)]
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
-        e.release()
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, _PIECE)
 
