@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag
+from .selection import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -22,9 +23,10 @@ def _each(df: DataFrame, columns: list[str], make: dict[str, tuple]) -> DataFram
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum of each column, in one pass."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum of each column."""
+    cut = quantiles(df, dict.fromkeys(columns, QUARTILES))
     make = {"n": (F.count, "bigint"), "mean": (F.avg, "double"), "std": (F.stddev_samp, "double"), "min": (F.min, "double")}
-    make |= {f"p{int(100 * q)}": ((lambda c, q=q: F.percentile(c, F.lit(q))), "double") for q in QUARTILES}
+    make |= {f"p{int(100 * q)}": ((lambda c, i=i: F.first(F.lit(cut[c][i]).cast("double"))), "double") for i, q in enumerate(QUARTILES)}
     return _each(df, columns, make | {"max": (F.max, "double")})
 
 
@@ -62,8 +64,8 @@ def range_overlap(train: DataFrame, later: DataFrame, ts: str = "ts") -> DataFra
 
 def fixed_label(df: DataFrame, source: DataFrame, value: str, q: float = 0.9, to: str = "price_spike") -> DataFrame:
     """``to``: 1 above the quantile that ``value`` has in ``source`` (a training split: no look-ahead); the threshold stays as a column."""
-    cut = source.agg(F.percentile(value, F.lit(q)).alias("spike_threshold"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(to, flag(F.col(value) > F.col("spike_threshold")))
+    (cut,) = quantiles(source, {value: [q]})[value]
+    return df.withColumn("spike_threshold", F.lit(cut).cast("double")).withColumn(to, flag(F.col(value) > F.col("spike_threshold")))
 
 
 def threshold_label(value: str, cut: float) -> Column:
@@ -77,8 +79,8 @@ def year_split(df: DataFrame, year: int, ts: str = "ts") -> tuple[DataFrame, Dat
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of each column take its exact median."""
-    cut = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(cut)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    cut = quantiles(df, dict.fromkeys(columns, [0.5]))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(cut[c][0]).cast("double")) for c in columns})
 
 
 def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

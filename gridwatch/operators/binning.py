@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
     """Exact ``n`` + 1 quantiles, linear between order statistics; equal edges are an error."""
-    edges = df.agg(F.percentile(column, F.array(*(F.lit(i / n) for i in range(n + 1)))).alias("e")).first()["e"]
-    if not edges:
+    edges = quantiles(df, {column: [i / n for i in range(n + 1)]})[column]
+    if edges[0] is None:
         return []
     if len(set(edges)) < len(edges):
         raise ValueError(f"bin edges of {column} aren't distinct: {edges}")

@@ -1,9 +1,7 @@
-"""Density clusters of vectors: blocked nearest neighbours, mutual reachability, components, silhouette."""
+"""Density clusters of vectors: neighbours within a radius, mutual reachability, components, silhouette."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -12,12 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .radius import LEAF, cells, distances, in_cells
 from .scratch import kept
 
-#: Rows of a block: a task holds the distances of one pair of blocks at a time.
-BLOCK = 2000
-
-
 def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     """``vector`` on its first ``k`` principal components."""
     v = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
@@ -25,61 +20,13 @@ def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     return model.transform(v).withColumn(vector, vector_to_array("_p")).drop("_v", "_p")
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks of about ``BLOCK`` rows each."""
-    return max(1, -(-df.count() // BLOCK))
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
-
-
-def nearest(df: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
-    """``a, b, d``: the ``k`` nearest other rows of each row. Every pair of blocks is one group; a block's best ``k`` go on."""
-    blocks = blocks or block_count(df)
-    b = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(blocks))))).withColumn("side", F.lit(0))
-    right = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(blocks))))).withColumn("side", F.lit(1))
-    both = left.select("id", "v", F.col("own").alias("i"), F.col("other").alias("j"), "side").unionByName(right.select("id", "v", F.col("other").alias("i"), F.col("own").alias("j"), "side"))
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = part[part["side"] == 0], part[part["side"] == 1]
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": "int64", "b": "int64", "d": "float64"})
-        x, y = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        d = _distances(x, y)
-        d[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = np.inf
-        m = min(k, d.shape[1])
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        out = pd.DataFrame({"a": np.repeat(p["id"].to_numpy(), m), "b": q["id"].to_numpy()[at.ravel()], "d": np.take_along_axis(d, at, axis=1).ravel()})
-        return out[np.isfinite(out["d"])]
-
-    from pyspark.sql import Window as W
-
-    near = both.groupBy("i", "j").applyInPandas(best, "a bigint, b bigint, d double")
-    return near.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("_k") <= k).drop("_k")
-
-
 def _close(p: pd.DataFrame, q: pd.DataFrame, eps: float) -> np.ndarray:
     """Which other rows of ``q`` are within ``eps`` of each row of ``p``."""
-    close = _distances(np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())) <= eps
+    close = distances(np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())) <= eps
     close[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = False
     return close
 
 
-def _in_pairs(b: DataFrame, blocks: int, found: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``found`` of every two blocks of ``b(id, v)``, and of every block with itself."""
-    b = b.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = b.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        p, q = part[part["own"] == i], part[part["own"] == j]
-        return found(p, q) if len(p) and len(q) else found(part.iloc[:0], part.iloc[:0])
-
-    return pairs.groupBy("i", "j").applyInPandas(run, schema)
-
-
 def _forest(p: np.ndarray, q: np.ndarray, close: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the same rows of ``p`` and ``q`` as all of ``close`` do: one for each row reached."""
     out = []
@@ -98,66 +45,82 @@ def _forest(p: np.ndarray, q: np.ndarray, close: np.ndarray) -> list[tuple[int,
     return out
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, min_size: int = 20, blocks: int | None = None) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, min_size: int = 20, leaf: int = LEAF) -> DataFrame:
     """``key, cluster``: components of rows whose mutual reachability is at most ``eps``; small ones are noise (-1).
 
     The core distance is that to the ``min_samples``-th nearest row, itself included. It is at most ``eps`` where as many
-    rows are within ``eps``, so these are counted; links are all pairs of such rows within ``eps``, of which every two
-    blocks pass on as many as join the same rows.
+    rows are within ``eps``, so these are counted; links are all pairs of such rows within ``eps``, of which every group
+    of a cell passes on as many as join the same rows. Rows meet in the cells of a radius index.
     """
     rows = kept(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
-    blocks = blocks or block_count(rows)
+    near = cells(rows, "id", "v", eps, leaf)
 
     def count(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame({"id": [], "n": []}).astype("int64")
-        close = _close(p, q, eps)
-        sides = [(p, close.sum(axis=1))] + ([(q, close.sum(axis=0))] if p["own"].iloc[0] != q["own"].iloc[0] else [])
-        out = pd.concat([pd.DataFrame({"id": x["id"], "n": n}) for x, n in sides])
-        return out[out["n"] > 0]
+        n = _close(p, q, eps).sum(axis=1) if len(p) else []
+        return pd.DataFrame({"id": p["id"], "n": n}).astype("int64")
 
     def link(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = _forest(p["id"].to_numpy(), q["id"].to_numpy(), _close(p, q, eps)) if len(p) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    core = rows
     if min_samples > 1:
-        near = _in_pairs(rows, blocks, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-        core = kept(rows.join(near.where(F.col("n") >= min_samples - 1), "id", "left_semi"), "core")
-    labels = components(_in_pairs(core, blocks, link, "a bigint, b bigint"))
+        core = in_cells(near, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples - 1)
+        near = kept(near.join(core, "id", "left_semi"), "core")
+    labels = components(in_cells(near, link, "a bigint, b bigint"))
     labels = rows.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     return labels.join(sizes, "label").select(F.col("id").alias(key), F.when(F.col("n") >= min_size, F.col("label")).otherwise(-1).alias("cluster"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, cluster: str, blocks: int | None = None) -> DataFrame:
-    """``silhouette, n_points, n_clusters`` over rows that aren't noise (Euclidean, exact); null under 2 clusters or 10 rows.
+#: Rows up to which the silhouette takes every pair's distance.
+PAIRWISE = 20_000
+
 
-    Distances are summed by row and cluster within pairs of blocks; only those sums are shuffled on.
+def silhouette(df: DataFrame, key: str, vector: str, cluster: str, pairwise: int = PAIRWISE) -> DataFrame:
+    """``silhouette, n_points, n_clusters, metric`` over rows that aren't noise (-1); null under 2 clusters or 10 rows.
+
+    Up to ``pairwise`` rows the metric is ``euclidean``, with every row's distances summed by cluster. Beyond, it is
+    ``squared_euclidean``: the sum of a row's squared distances to a cluster follows from the cluster's size, sum and
+    squared norm, so the work is rows times clusters. A row alone in its cluster counts 0.
     """
-    blocks = blocks or block_count(df.where(F.col(cluster) != -1))
-    b = df.where(F.col(cluster) != -1).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("bigint").alias("c")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.array(*(F.lit(i) for i in range(blocks))))
-    left = b.withColumn("j", every).select("id", "v", "c", F.col("own").alias("i"), "j", F.lit(0).alias("side"))
-    right = b.withColumn("i", every).select("id", "v", "c", "i", F.col("own").alias("j"), F.lit(1).alias("side"))
-
-    def sums(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = part[part["side"] == 0], part[part["side"] == 1]
-        out = []
-        for c, other in q.groupby("c"):
-            if len(p):
-                x, y = np.stack(p["v"].to_numpy()), np.stack(other["v"].to_numpy())
-                d = _distances(x, y)
-                out.append(pd.DataFrame({"id": p["id"], "c": p["c"], "other": c, "total": d.sum(axis=1), "n": len(other)}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "c": [], "other": [], "total": [], "n": []})
-
-    s = left.unionByName(right).groupBy("i", "j").applyInPandas(sums, "id bigint, c bigint, other bigint, total double, n bigint")
-    by = s.groupBy("id", "c", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = df.where(F.col(cluster) != -1).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("bigint").alias("c"))
+    exact = rows.count() <= pairwise
+    totals = _pair_totals(rows) if exact else _square_totals(rows)
     own = F.max(F.when((F.col("c") == F.col("other")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
     far = F.min(F.when(F.col("c") != F.col("other"), F.col("total") / F.col("n")))
-    one = by.groupBy("id", "c").agg(own.alias("a"), far.alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    one = totals.groupBy("id", "c").agg(own.alias("a"), far.alias("b"))
+    value = F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     out = one.agg(F.avg(value).alias("silhouette"), F.count("*").alias("n_points"), F.count_distinct("c").alias("n_clusters"))
-    return out.withColumn("silhouette", F.when((F.col("n_clusters") >= 2) & (F.col("n_points") >= 10), F.col("silhouette")))
-
-
+    out = out.withColumn("silhouette", F.when((F.col("n_clusters") >= 2) & (F.col("n_points") >= 10), F.col("silhouette")))
+    return out.withColumn("metric", F.lit("euclidean" if exact else "squared_euclidean"))
+
+
+def _square_totals(rows: DataFrame) -> DataFrame:
+    """``id, c, other, total, n`` by each row's and each cluster's sums; no pair of rows is formed."""
+    centre = rows.select(F.posexplode("v")).groupBy("pos").agg(F.avg("col").alias("m"))
+    mean = centre.agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s")).select(F.transform("s", lambda x: x["m"]).alias("mean"))
+    # around the common mean the squares are small, and little is lost when they are subtracted
+    moved = rows.crossJoin(F.broadcast(mean)).select("id", "c", F.zip_with("v", "mean", lambda a, b: a - b).alias("v"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    parts = moved.select("c", F.posexplode("v")).groupBy("c", "pos").agg(F.sum("col").alias("s"), F.sum(F.col("col") * F.col("col")).alias("q"), F.count("*").alias("n"))
+    stats = parts.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("s"), F.sum("q").alias("q"), F.max("n").alias("n"))
+    both = moved.crossJoin(stats.withColumnRenamed("c", "other"))  # a row for each cluster
+    dot = F.aggregate(F.zip_with("v", "s", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    total = F.col("n") * square(F.col("v")) - 2 * dot + F.col("q")
+    return both.select("id", "c", "other", F.greatest(total, F.lit(0.0)).alias("total"), "n")
+
+
+def _pair_totals(rows: DataFrame) -> DataFrame:
+    """The same with Euclidean distances, from blocks of pairs."""
+
+    def sums(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "c": [], "other": [], "total": [], "n": []})]
+        for c, other in q.groupby("c"):
+            d = distances(np.stack(p["v"].to_numpy()), np.stack(other["v"].to_numpy()))
+            d[p["id"].to_numpy()[:, None] == other["id"].to_numpy()[None, :]] = 0
+            out.append(pd.DataFrame({"id": p["id"], "c": p["c"], "other": c, "total": d.sum(axis=1), "n": len(other)}))
+        return pd.concat(out[1:] or out)
+
+    one = rows.select(F.lit("0").alias("cell"), "id", "v", "c", F.lit(True).alias("member"))
+    s = in_cells(one, sums, "id bigint, c bigint, other bigint, total double, n bigint")
+    return s.groupBy("id", "c", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

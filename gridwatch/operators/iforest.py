@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import kept
+from .selection import quantiles
+
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int"
 
 
@@ -86,5 +89,6 @@ def flagged(scored: DataFrame, contamination: float = 0.05, offset: float | None
     """``is_anomaly``: below the offset, which is the score's quantile at ``contamination`` over the training rows."""
     if offset is not None:
         return scored.withColumn("is_anomaly", F.col("anomaly_score") < offset)
-    cut = scored.agg(F.percentile("anomaly_score", F.lit(contamination)).alias("offset"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("anomaly_score") < F.col("offset"))
+    scored = kept(scored, "anomaly-scores")  # scores are costly, and selection reads them several times
+    (cut,) = quantiles(scored, {"anomaly_score": [contamination]})["anomaly_score"]
+    return scored.withColumn("offset", F.lit(cut).cast("double")).withColumn("is_anomaly", F.col("anomaly_score") < F.col("offset"))

@@ -13,6 +13,7 @@ from ..operators.timegrid import grid_of, slot
 
 TYPES = {"price": "purchase", "flow_in": "click", "flow_out": "view", "sched": "signup", "upstream_error": "error"}
 COLUMNS = list(TYPES)
+_KEPT: dict[tuple[str, str | None, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with gaps filled forward. Both are written once: what follows reads each several times."""
-    return kept(filled_forward(kept(panel(spark, sf_dir), "panel"), COLUMNS), "filled-panel")
+    """The panel with gaps filled forward, one kept table for each source and session: what follows reads it several times."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = kept(filled_forward(panel(spark, sf_dir), COLUMNS), "filled-panel")
+    return _KEPT[key]
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
