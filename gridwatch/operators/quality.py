@@ -50,7 +50,7 @@ class Rule:
 TYPES = ("range", "non_negative", "non_positive", "not_simultaneous", "derived_field")
 
 
-def _usable(df: DataFrame, rules: list[Rule], groups: list[str] | None) -> tuple[list[Rule], list[Rule]]:
+def usable(df: DataFrame, rules: list[Rule], groups: list[str] | None) -> tuple[list[Rule], list[Rule]]:
     """Rules that apply to the table (known type, chosen group, columns present), and those whose formula can't be read."""
     good, bad = [], []
     for r in rules:
@@ -69,7 +69,7 @@ def violations(df: DataFrame, rules: list[Rule], groups: list[str] | None = None
 
     A formula that can't be read gives a warning row with no violations.
     """
-    good, bad = _usable(df, rules, groups)
+    good, bad = usable(df, rules, groups)
     spark = df.sparkSession
     schema = "rule_id int, rule_group string, rule_type string, column_name string, severity string, n_violations bigint, reason string"
     failed = spark.createDataFrame([(rules.index(r), r.group, r.type, r.column, "warning", 0, "formula can't be read") for r in bad], schema)
@@ -86,7 +86,7 @@ def violation_samples(df: DataFrame, rules: list[Rule], order: list[str], n: int
     """The first ``n`` rows, in ``order``, that break each rule. Ranks are cut within each task before rows meet."""
     from pyspark.sql import Window as W
 
-    good, _ = _usable(df, rules, None)
+    good, _ = usable(df, rules, None)
     hits = F.filter(F.array(*(F.when(r.broken(), F.lit(rules.index(r))) for r in good)), lambda x: x.isNotNull())
     rows = df.withColumn("rule_id", F.explode(hits))
     return rows.withColumn("_k", F.row_number().over(W.partitionBy("rule_id").orderBy(*order))).where(F.col("_k") <= n).drop("_k")
@@ -205,51 +205,57 @@ def rows_by_day(df: DataFrame, expected: int = 96, allowed: int = 4, severe: int
     return df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n")).withColumn("severity", F.when(off <= allowed, "ok").when(off > severe, "error").otherwise("warning"))
 
 
-# The rule catalogue of the panel (group, type, column, low, high, severity).
-_CATALOGUE = """
-settlement range pos_sec_price -1000 15000 warning
-settlement range neg_sec_price -50000 1000 warning
-settlement non_negative pos_sec_vol_mw - - error
-settlement range pos_sec_vol_mw 0 1500 warning
-settlement non_positive neg_sec_vol_mw - - error
-settlement range neg_sec_vol_mw -1500 0 warning
-settlement non_negative CH_DE_mw - - error
-settlement non_negative DE_CH_mw - - error
-settlement non_negative CH_FR_mw - - error
-settlement non_negative FR_CH_mw - - error
-settlement range CH_DE_mw 0 6000 error
-settlement range DE_CH_mw 0 6000 error
-settlement range CH_FR_mw 0 4500 error
-settlement range FR_CH_mw 0 4500 error
-transparency range DE_WindSolar_Error -25000 25000 warning
-transparency range Sched_DE_CH 0 5000 error
-transparency range Sched_FR_CH 0 5000 error
-transparency range Sched_CH_IT 0 6000 error
-transparency range Sched_IT_CH 0 4500 error
-transparency range DA_Price_DE -500 4000 error
-transparency range DA_Price_CH -500 4000 error
-transparency range CH_Load_Forecast 3000 12000 error
-transparency non_negative CH_Pump_Gen - - error
-transparency range CH_Pump_Gen 0 5000 warning
-feature range abs_Unplanned_Flow 0 10000 warning
-feature range Unplanned_Flow_FR_CH -10000 10000 warning
-feature range minute 0 45 error
-feature range is_turnover 0 1 error
-feature range price_spike_rolling 0 1 error
-"""
+# The rule catalogue of the panel (type, column, low, high, severity, reason) by group.
+_CATALOGUE = {
+    "swissgrid_rules": """
+range pos_sec_price -1000 15000 warning aFRR positive price outside historical range — possible market event or data error
+range neg_sec_price -50000 1000 warning aFRR negative price outside historical range
+non_negative pos_sec_vol_mw - - error Positive aFRR volume cannot be negative by definition
+range pos_sec_vol_mw 0 1500 warning aFRR volume exceeds typical capacity
+non_positive neg_sec_vol_mw - - error Negative aFRR volume cannot be positive by definition (sign convention)
+range neg_sec_vol_mw -1500 0 warning Negative aFRR volume exceeds typical capacity
+non_negative CH_DE_mw - - error Physical flow CH→DE cannot be negative — flow direction is encoded by separate columns
+non_negative DE_CH_mw - - error Physical flow DE→CH cannot be negative — flow direction is encoded by separate columns
+non_negative CH_FR_mw - - error Physical flow CH→FR cannot be negative
+non_negative FR_CH_mw - - error Physical flow FR→CH cannot be negative
+range CH_DE_mw 0 6000 error CH→DE flow exceeds physical interconnector capacity
+range DE_CH_mw 0 6000 error DE→CH flow exceeds physical interconnector capacity
+range CH_FR_mw 0 4500 error CH→FR flow exceeds physical interconnector capacity
+range FR_CH_mw 0 4500 error FR→CH flow exceeds physical interconnector capacity
+""",
+    "entsoe_rules": """
+range DE_WindSolar_Error -25000 25000 warning DE wind+solar forecast error outside historical range
+range Sched_DE_CH 0 5000 error Scheduled DE→CH exceeds NTC capacity
+range Sched_FR_CH 0 5000 error Scheduled FR→CH exceeds NTC capacity
+range Sched_CH_IT 0 6000 error Scheduled CH→IT exceeds NTC capacity
+range Sched_IT_CH 0 4500 error Scheduled IT→CH exceeds NTC capacity
+range DA_Price_DE -500 4000 error DA price DE outside market price floor/ceiling — likely data error
+range DA_Price_CH -500 4000 error DA price CH outside market price floor/ceiling
+range CH_Load_Forecast 3000 12000 error CH load forecast outside physical demand range
+non_negative CH_Pump_Gen - - error CH pumped storage generation cannot be negative
+range CH_Pump_Gen 0 5000 warning CH pump generation exceeds installed capacity
+""",
+    "feature_rules": """
+range abs_Unplanned_Flow 0 10000 warning Unplanned flow magnitude exceeds plausible range (DE-CH NTC + max schedule)
+range Unplanned_Flow_FR_CH -10000 10000 warning Unplanned flow FR-CH outside plausible range
+range minute 0 45 error Minute must be 0, 15, 30, or 45 for 15-min data
+range is_turnover 0 1 error is_turnover must be binary 0 or 1
+range price_spike_rolling 0 1 error Spike label must be binary 0 or 1
+""",
+}
 _DERIVED = (
-    ("DA_Price_Spread_DE_CH", "DA_Price_DE - DA_Price_CH", 0.01),
-    ("actual_net_DE_to_CH", "DE_CH_mw - CH_DE_mw", 0.1),
-    ("Unplanned_Flow", "actual_net_DE_to_CH - Sched_DE_CH", 0.1),
+    ("DA_Price_Spread_DE_CH", "DA_Price_DE - DA_Price_CH", 0.01, "Spread is a derived field — must equal DE minus CH price exactly"),
+    ("actual_net_DE_to_CH", "DE_CH_mw - CH_DE_mw", 0.1, "Net flow is a derived field — must equal directional difference"),
+    ("Unplanned_Flow", "actual_net_DE_to_CH - Sched_DE_CH", 0.1, "Unplanned flow is the core causal variable — formula must hold exactly"),
 )
 
 
 def panel_rules() -> list[Rule]:
     """The rule catalogue of the energy panel: four groups of rules."""
     number = lambda x: None if x == "-" else float(x)
-    rows = [x.split() for x in _CATALOGUE.strip().splitlines()]
-    rules = [Rule(g, t, c, number(a), number(z), severity=s) for g, t, c, a, z, s in rows]
-    return rules + [Rule("derived", "derived_field", c, formula=f, tolerance=t, severity="error") for c, f, t in _DERIVED]
+    rows = [(g, *x.split(" ", 5)) for g, text in _CATALOGUE.items() for x in text.strip().splitlines()]
+    rules = [Rule(g, t, c, number(a), number(z), severity=s, reason=why) for g, t, c, a, z, s, why in rows]
+    return rules + [Rule("consistency_rules", "derived_field", c, formula=f, tolerance=t, severity="error", reason=why) for c, f, t, why in _DERIVED]
 
 
 def report(checks: dict[str, DataFrame]) -> DataFrame:

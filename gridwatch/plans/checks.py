@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, drift, timegrid, windows
+from ..operators import aggregates, cluster, drift, failures, timegrid, windows
+from ..operators.quality import Field, Rule
 from . import panel as pn
 from .catalogue import query
 
@@ -53,3 +54,65 @@ def frozen_label(spark, d):
 def rate_verdicts(spark, d):
     rates = pn.table(spark, d, "events").groupBy("event_type").agg(F.avg((F.col("value") > 200).cast("double")).alias("anomaly_rate"))
     return drift.anomaly_verdict(rates, 0.02)
+
+
+_ORDER_CHECKS = {("o_totalprice", "at_least"): "o_totalprice < 5000", ("o_totalprice", "at_most"): "o_totalprice > 300000", ("o_orderkey", "type"): "true", ("absent", "present"): "true"}
+
+
+@query(
+    "select * from ("
+    + " union all ".join(
+        f"(select 'schema' as check_type, '{c}' as column_name, '{k}' as check_name, count(*) over ()::bigint as n_failures, row_number() over (order by o_orderkey)::integer as place, "
+        f"{'null' if c == 'absent' else c}::double as value, o_orderkey from orders where {bad} order by o_orderkey limit 5)"
+        for (c, k), bad in _ORDER_CHECKS.items()
+    )
+    + " union all select 'columns', 'absent', 'missing', 1, null, null, null union all select 'columns', column_name, 'only_left', 1, null, null, null from (describe orders) where column_name <> 'o_orderkey') q",
+    "value", "check_type column_name check_name n_failures place o_orderkey",
+)
+def failure_rows(spark, d):
+    """Failed checks of the orders with their first rows, and columns that only one of two tables has."""
+    o = pn.table(spark, d, "orders")
+    fields = [Field("o_totalprice", nullable=False, low=5000, high=300000), Field("absent"), Field("o_orderkey")]
+    out = failures.failure_rows(o, fields, ["o_orderkey"], required=["o_orderkey", "absent"], other=o.select("o_orderkey"))
+    return out.withColumn("value", F.expr("try_cast(value as double)"))
+
+
+_ORDER_RULES = [
+    Rule("orders", "range", "o_totalprice", 2000, 400000, severity="warning", reason="unusual total"),
+    Rule("orders", "non_negative", "o_custkey", severity="error", reason="keys are positive"),
+    Rule("orders", "not_simultaneous", "o_totalprice", other="o_custkey", tolerance=1000, severity="info", reason="late customer"),
+    Rule("orders", "derived_field", "o_totalprice", formula="o_custkey * 200", tolerance=100000, severity="error", reason="total follows the customer"),
+    Rule("orders", "derived_field", "o_totalprice", formula="nowhere + 1", severity="error", reason="unread"),
+]
+_ORDER_BROKEN = {0: "o_totalprice < 2000 or o_totalprice > 400000", 2: "o_totalprice > 1000 and o_custkey > 1000", 3: "abs(o_custkey * 200 - o_totalprice) > 100000"}
+_ORDER_TOLD = {0: "unusual total (range: [2000, 400000])", 2: "late customer (tolerance: 1000 MW)", 3: "total follows the customer (formula: o_custkey * 200, tolerance: 100000)"}
+_UNREAD = "select 'derived_field', 'warning', 'o_totalprice', 0, '', 0, 'Could not evaluate formula ''nowhere + 1'''"
+
+
+@query(
+    "select * from ("
+    + " union all ".join(
+        f"select '{_ORDER_RULES[i].type}' as rule_type, '{_ORDER_RULES[i].severity}' as severity, '{','.join(_ORDER_RULES[i].needs)}' as columns, max(n)::bigint as n_violations, string_agg(o_orderkey, ',' order by o_orderkey) as sample_indices, "
+        f"count(*)::bigint as n_samples, '{_ORDER_TOLD[i]}' as reason from (select o_orderkey, count(*) over () as n from orders where {bad} order by o_orderkey limit 5) having count(*) > 0"
+        for i, bad in _ORDER_BROKEN.items()
+    )
+    + f" union all {_UNREAD}) q",
+    "", "rule_type severity columns n_violations sample_indices n_samples reason",
+)
+def violation_report(spark, d):
+    """Broken rules of the orders with the keys of their first rows."""
+    found = failures.violation_report(pn.table(spark, d, "orders"), _ORDER_RULES, "o_orderkey")
+    names = {"columns": F.concat_ws(",", "columns"), "sample_indices": F.concat_ws(",", F.col("sample_indices").cast("array<string>")), "n_samples": F.size("sample_values").cast("bigint")}
+    return found.withColumns(names).drop("sample_values", "rule_config")
+
+
+@query(
+    "v as (select vec_id, label, embedding::double[] as e from embeddings where label <> -1), "
+    "d as (select a.vec_id, a.label, b.label as other, sum(power(list_distance(a.e, b.e), 2)) as total, count(*) as n from v a, v b group by 1, 2, 3), "
+    "s as (select vec_id, max(case when label = other and n > 1 then total / (n - 1) end) as own, min(case when label <> other then total / n end) as far from d group by 1) ### "
+    "select avg(coalesce((far - own) / greatest(own, far), 0)) as silhouette, count(*) as n_points, (select count(distinct label) from v) as n_clusters, 'squared_euclidean' as metric from s",
+    "silhouette", "n_points n_clusters metric",
+)
+def label_silhouette(spark, d):
+    """How well the vectors' labels part them, from sums by label."""
+    return cluster.silhouette(pn.table(spark, d, "embeddings"), "vec_id", "embedding", "label", pairwise=0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, backtest, cluster, iforest, metrics, stats, training
+from ..operators import attribution, backtest, boosting, cluster, iforest, metrics, stats, training, tree_attribution
 from . import panel as pn
 from .catalogue import query
 
@@ -58,6 +58,40 @@ def attributions(spark, d):
     return attribution.mean_absolute(found)
 
 
+_FORESTS: dict[tuple[str, str], boosting.Forest] = {}
+
+
+def _monotone(spark, d):
+    """Trees whose spike probability rises with the unplanned flow, fitted once for each source and session, and the later rows."""
+    t = pn.labelled(spark, d).select("ts", "price_spike", *FEATURES)
+    train, later = training.fraction_split(t, 0.8)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FORESTS:
+        cut = int(0.8 * train.count())
+        rising = {"unplanned": 1, "abs_unplanned": 1}
+        _FORESTS[key] = boosting.fit_forest(train.withColumn("held", F.col("idx") >= cut), FEATURES, "price_spike", rising, held="held", rounds=10, rate=0.3)
+    return _FORESTS[key], later
+
+
+@query()
+def monotone_scores(spark, d):
+    forest, later = _monotone(spark, d)
+    return forest.scores(later).select("ts", "price_spike", "prob_raw")
+
+
+@query()
+def tree_attributions(spark, d):
+    """Exact attributions of every later row, their mean by feature."""
+    return attribution.mean_absolute(tree_attribution.tree_attributions(*_monotone(spark, d), "idx"))
+
+
+@query()
+def tree_interactions(spark, d):
+    """Mean absolute interaction of every two features over the later rows."""
+    found = tree_attribution.tree_interactions(*_monotone(spark, d), "idx")
+    return found.groupBy("feature", "other").agg(F.avg(F.abs("interaction")).alias("mean_abs"))
+
+
 @query()
 def vector_clusters(spark, d):
     v = pn.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
