@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import kept
+
 from .windows import islands
 
 
@@ -61,10 +63,19 @@ def described(events: DataFrame, threshold: str = "mean_threshold", wind: str =
 
 def cluster_samples(df: DataFrame, cluster: str, order: list[str], n: int = 5) -> DataFrame:
     """Up to ``n`` rows of each cluster at evenly spaced places, first and last included, with its size."""
+    # ranges of rows in order: a large cluster takes many
+    ranged = df.where(F.col(cluster) != -1).repartitionByRange(cluster, *order).withColumn("_range", F.spark_partition_id())
+    ranged = kept(ranged, "ranges")
+    counts = ranged.groupBy(cluster, "_range").agg(F.count("*").alias("_n"))
     w = W.partitionBy(cluster)
-    placed = df.where(F.col(cluster) != -1).withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("cluster_size", F.count("*").over(w))
-    picks = F.array(*(F.floor(F.lit(i) * (F.col("cluster_size") - 1) / max(n - 1, 1)) for i in range(n)))
-    return placed.where(F.array_contains(picks, F.col("_k").cast("bigint"))).withColumnRenamed("_k", "place")
+    before = F.sum("_n").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    sized = counts.withColumn("_before", before).withColumn("cluster_size", F.sum("_n").over(w))
+    picks = F.array(*(F.floor(F.lit(i) * (F.col("cluster_size") - 1) / max(n - 1, 1)).cast("bigint") for i in range(n)))
+    # only ranges that hold a wanted place are sorted
+    wanted = sized.withColumn("_picks", F.filter(picks, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))).where(F.size("_picks") > 0)
+    placed = ranged.join(wanted.drop("_n"), [cluster, "_range"])
+    placed = placed.withColumn("place", F.col("_before") + F.row_number().over(W.partitionBy(cluster, "_range").orderBy(*order)) - 1)
+    return placed.where(F.array_contains("_picks", F.col("place"))).drop("_range", "_before", "_picks")
 
 
 def cluster_summary(df: DataFrame, cluster: str, means: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,13 @@ def zipped(actual: DataFrame, forecast: DataFrame, origin: str, order: str) -> D
     step = F.row_number().over(W.partitionBy(origin).orderBy(order))
     a, b = actual.withColumn("step", step), forecast.withColumn("step", step).drop(order)
     return a.join(b, [origin, "step"])
+
+
+def write_complete(df: DataFrame, keys: list[str], path: str) -> dict[str, int]:
+    """Write the rows without nulls in ``keys`` as Parquet; ``n_kept`` and ``n_dropped`` are observed in the same job."""
+    seen = Observation()
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    df.observe(seen, F.count_if(whole).alias("n_kept"), F.count_if(~whole).alias("n_dropped")).where(whole).write.parquet(path)
+    return {k: seen.get[k] or 0 for k in ("n_kept", "n_dropped")}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.once import partition_values
+
 from .timegrid import STEP, missing_slots
 from .windows import backward_steps, difference
 
@@ -167,6 +169,12 @@ def stage_consistency(raw: DataFrame, features: DataFrame, predictions: DataFram
     return every.withColumn("issue", issue).where("issue is not null").select(date, "issue")
 
 
+def stage_listing(spark: SparkSession, raw: str, features: str, predictions: str, date: str = "date") -> DataFrame:
+    """``stage_consistency`` of three tables by the names of their date folders: no file is read. A table that isn't there has no dates."""
+    stages = [spark.createDataFrame([(v,) for v in partition_values(spark, path, date)], f"{date} string").select(F.col(date).cast("date").alias(date)) for path in (raw, features, predictions)]
+    return stage_consistency(*stages, date)
+
+
 def source_disagreement(df: DataFrame, a: str, b: str, spread: str, share: float = 0.05, least: float = 0.1) -> DataFrame:
     """Rows whose ``a - b`` isn't ``spread`` within the larger of ``least`` and a share of the two values' mean size."""
     allowed = F.greatest(F.lit(least), share * (F.abs(a) + F.abs(b)) / 2)

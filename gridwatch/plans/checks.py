@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, cluster, drift, failures, timegrid, windows
+from ..operators import aggregates, blocks, cluster, drift, failures, quality, timegrid, windows
+from ..operators.scratch import scratch_path
+from ..sources import files
 from ..operators.quality import Field, Rule
+from ..operators import features as ft
 from . import panel as pn
 from .catalogue import query
 
@@ -25,8 +28,13 @@ def day_after_windows(spark, d):
     o = pn.table(spark, d, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp_ntz"))
     some = timegrid.history_for_day(o, "1995-03-17", "7 days")
     days = some.groupBy("ts").agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"))
-    near = days.select(F.col("ts").alias("other"), "s", "n")
-    means = days.select("ts").join(near, F.expr("other between ts - interval 7 days and ts")).groupBy("ts").agg((F.sum("s") / F.sum("n")).alias("week_mean"))
+    days = timegrid.grid_of(days, step=1440).join(days, "ts", "left")
+
+    def week(w):
+        w = w.rowsBetween(-7, 0)
+        return {"week_mean": F.sum("s").over(w) / F.sum("n").over(w)}
+
+    means = blocks.windowed(days, week, 8).select("ts", "week_mean")
     return timegrid.one_day(some.join(means, "ts"), "1995-03-17").select("o_custkey", "o_orderkey", "o_totalprice", "week_mean")
 
 
@@ -116,3 +124,24 @@ def violation_report(spark, d):
 def label_silhouette(spark, d):
     """How well the vectors' labels part them, from sums by label."""
     return cluster.silhouette(pn.table(spark, d, "embeddings"), "vec_id", "embedding", "label", pairwise=0)
+
+
+@query(
+    "m as (select date_trunc('month', o_orderdate)::date as date, bool_or(o_orderkey % 3 = 0 and month(o_orderdate) % 4 <> 0) as raw, bool_or(month(o_orderdate) % 3 <> 0) as features, bool_or(month(o_orderdate) % 5 <> 0) as predictions from orders group by 1) ### "
+    "select date, case when features and not raw then 'features without raw' when predictions and not features then 'predictions without features' else 'predictions without raw' end as issue from m where (features and not raw) or (predictions and not features) or (predictions and not raw)",
+    "", "date issue",
+)
+def stage_folders(spark, d):
+    """Months of three stages, written by month and compared by their folders' names."""
+    o = pn.table(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("date"), "o_orderkey", F.month("o_orderdate").alias("m"))
+    paths = [scratch_path(spark, "stage") for _ in range(3)]
+    for path, rows in zip(paths, (o.where("o_orderkey % 3 = 0 and m % 4 <> 0"), o.where("m % 3 <> 0"), o.where("m % 5 <> 0")), strict=True):
+        files.write_dated(rows.groupBy("date").agg(F.count("*").alias("n")), path)
+    return quality.stage_listing(spark, *paths)
+
+
+@query(f"{pn.PANEL} ### select count(*) filter (price is not null and sched is not null) as n_kept, count(*) filter (price is null or sched is null) as n_dropped from panel", "", "n_kept n_dropped")
+def rows_dropped_on_write(spark, d):
+    """Counts of kept and dropped rows, observed while the kept ones are written."""
+    counts = ft.write_complete(pn.panel(spark, d), ["price", "sched"], scratch_path(spark, "complete"))
+    return spark.createDataFrame([(counts["n_kept"], counts["n_dropped"])], "n_kept bigint, n_dropped bigint")

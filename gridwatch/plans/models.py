@@ -13,14 +13,24 @@ FEATURES = ["unplanned", "abs_unplanned", "sched", "upstream_error", "hour", "mi
 BACKGROUND = 5000
 
 
-@query()
-def granger(spark, d):
+def granger_tests(spark, d):
     hourly = pn.features(spark, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(*(F.avg(c).alias(c) for c in ("upstream_error", "unplanned", "price")))
     links = (("error to price", "price", "upstream_error"), ("error to flow", "unplanned", "upstream_error"), ("flow to price", "price", "unplanned"))
     out = [stats.granger(hourly, y, x, 4, name) for name, y, x in links]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query()
+def granger(spark, d):
+    return granger_tests(spark, d)
+
+
+@query()
+def granger_go(spark, d):
+    """Go or no-go: whether any lag of the link from the upstream error to the price is significant."""
+    return stats.any_significant(granger_tests(spark, d), "error to price")
+
+
 @query()
 def ols_p_values(spark, d):
     return stats.ols_with_p(pn.features(spark, d), [("unplanned", "price"), ("upstream_error", "unplanned")])

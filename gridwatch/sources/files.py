@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import no_nan
 from ..operators.timegrid import parse_day_first
+from .once import listed
 
 # Ordinals of the settlement export's columns and their names.
 SETTLEMENT = {0: "timestamp", 6: "pos_sec_vol_kwh", 7: "neg_sec_vol_kwh", 12: "CH_DE_kwh", 13: "DE_CH_kwh", 14: "CH_FR_kwh", 15: "FR_CH_kwh", 21: "pos_sec_price", 22: "neg_sec_price"}
@@ -69,6 +71,11 @@ def assembled(grid: DataFrame, feeds: dict[str, DataFrame], wanted: list[str], t
     return out.select(ts, *(F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in wanted))
 
 
+def load_model(spark: SparkSession, path: str) -> PipelineModel | DataFrame:
+    """What ``save_model`` wrote: a pipeline, or a table of nodes."""
+    return PipelineModel.load(path) if "metadata" in listed(spark, path) else spark.read.parquet(path)
+
+
 def save_model(model, path: str) -> None:
     """A fitted pipeline, or a forest's node table."""
     if isinstance(model, DataFrame):

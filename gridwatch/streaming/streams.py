@@ -38,10 +38,17 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", late: st
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def scored_to(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Write each micro-batch's predictions as Parquet; started by the caller's trigger."""
+def batch_writer(predict: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch's predictions into the folder of its number: a batch that is replayed replaces its rows."""
 
-    def one(batch: DataFrame, _: int) -> None:
-        predict(batch).write.mode("append").parquet(path)
+    def one(batch: DataFrame, number: int) -> None:
+        predict(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+    return one
+
+
+def scored_to(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str] | None = None, ts: str = "ts", late: str = "1 day"):
+    """Write each micro-batch's predictions as Parquet, once also after a failure; started by the caller's trigger. Rows of equal
+    ``keys`` within ``late`` are scored once."""
+    rows = without_repeats(stream, keys, ts, late) if keys else stream
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch_writer(predict, path))
