@@ -2,11 +2,12 @@
 
 A document of up to ``chunk_chars`` characters is encoded as it is. A longer one is encoded as overlapping
 chunks with offsets, each by the library as a text of its own. Two neighbouring chunks are spliced at a place
-in their overlap where both encodings have a token edge and which is stable whatever stands to either side: a single space
-between two characters that aren't white space. The pre-tokenizer begins a piece at such a space and no piece
-runs across it, so tokens before it come from the left chunk and the others from the right;
-``edges_are_stable`` proves this from the tokenizer's file, and without that proof every document is encoded whole.
-Where an overlap has no such edge it is doubled, and chunks that still don't align become one.
+in their overlap where both encodings have a token edge and which is stable whatever stands to either side. The
+pre-tokenizer's pattern proves such places: where white space follows another character, and between letters, digits and other
+marks, but for apostrophes; ``edges_are_stable`` looks whether the file has that pattern, and without it every
+document is encoded whole. A chunk ends ``overlap`` characters after the first stable place that it can be cut at,
+so text without such places is one chunk, and every character is encoded about once. Where two chunks don't
+align at the place, the left one is widened to twice its length and encoded again.
 
 Null and empty texts have 0 bytes and 0 tokens. Special strings inside texts are handled as the library
 does by default. Repeated rows give repeated results; other columns are ignored; an empty table gives
@@ -23,18 +24,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import chunks
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks int"
-_STABLE = re.compile(r"(?<=\S) (?=\S)")
+# The white space of the pre-tokenizer's pattern.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARK = rf"[^\p{{L}}\p{{N}}{_WHITE}']"
+#: Places where a piece ends, whatever stands to either side.
+_STABLE = regex.compile(
+    rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=\p{{L}})(?=\p{{N}})|(?<=\p{{N}})(?=\p{{L}})|(?<=\p{{L}})(?={_MARK})|(?<={_MARK})(?=\p{{L}})|(?<=\p{{N}})(?={_MARK})|(?<={_MARK})(?=\p{{N}})"
+)
 
 
 def edges_are_stable(tokenizer) -> bool:
-    """Nothing rewrites the text before it is cut; a byte-level pre-tokenizer cuts it by its own pattern, in which a
-    space stands only at the start of a piece that goes on without white space, or in a run of white space; no
-    special string holds a space or takes one in. A single space inside a text is then always the start of a piece."""
+    """Nothing rewrites the text before it is cut; a byte-level pre-tokenizer cuts it by its own pattern, whose pieces hold letters, digits or
+    marks of one kind after at most one space, a contraction after an apostrophe, or white space alone; no special string holds white space or takes any in."""
     spec = json.loads(tokenizer.to_str())
     cut = spec["pre_tokenizer"] or {}
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
@@ -52,6 +59,8 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk_chars, self.overlap = chunk_chars, overlap
         self.stable = edges_are_stable(self.tokenizer)
+        names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.longest, self.special = max(map(len, names), default=0), re.compile("|".join(map(re.escape, names))) if names else None
 
     def ends(self, text: str) -> np.ndarray:
         """Offsets at which the tokens of a chunk end, in order."""
@@ -59,35 +68,33 @@ class Counter:
 
     def spliced(self, text: str) -> tuple[int, int]:
         """Tokens of a long text, and the chunks it took."""
-        stops = [*range(self.chunk_chars, len(text), self.chunk_chars), len(text)]
-        total, skip, n = 0, 0, 1  # skip: tokens of the left chunk that are counted already
-        left, stop, overlap, i = 0, stops[0], self.overlap, 1
-        ends, cut = self.ends(text[:stop]), 0
-        while i < len(stops):
-            begin = max(cut, stop - overlap)
-            right = self.ends(text[begin : stops[i]]) + begin
-            found = self._common(text, begin, stop, ends, right)
-            if found is None:
-                if begin > cut:
-                    overlap *= 2  # widen and encode the right chunk again
+        total = n = begin = 0
+        skip, size = 0, self.chunk_chars  # skip: the place in the text up to which tokens are counted already
+        while True:
+            place = self._place(text, max(begin + size, skip + 1))
+            ends = self.ends(text[begin : min(place + self.overlap, len(text))]) + begin
+            if place < len(text):
+                after = max(place - self.overlap, begin)
+                right = self.ends(text[after : place + self.overlap]) + after
+                if not (ends == place).any() or not (right == place).any():
+                    size *= 2  # they don't align: widen the left chunk
                     continue
-                ends, stop = self.ends(text[left : stops[i]]) + left, stops[i]  # one chunk of both
+                total += int((ends <= place).sum() - (ends <= skip).sum())
+                begin, skip, size, n = after, place, self.chunk_chars, n + 1
             else:
-                cut, before, after = found
-                total += before - skip
-                ends, skip, left, stop, n = right, after, begin, stops[i], n + 1
-            overlap, i = self.overlap, i + 1
-        return total + len(ends) - skip, n
-
-    @staticmethod
-    def _common(text: str, begin: int, stop: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int, int] | None:
-        """The last stable place inside the overlap at which both chunks have a token edge, and the tokens of each before it."""
-        for m in reversed(list(_STABLE.finditer(text, begin, stop))):
-            p = m.start()
-            a, b = np.flatnonzero(left == p), np.flatnonzero(right == p)
-            if p > begin and len(a) and len(b):
-                return p, int(a[-1]) + 1, int(b[-1]) + 1
-        return None
+                return total + int((ends > skip).sum()), n + 1
+
+    def _place(self, text: str, at: int) -> int:
+        """The first stable place from ``at`` on; special strings aren't cut. Without one, the text's end."""
+        while at < len(text):
+            m = _STABLE.search(text, at)
+            if m is None:
+                break
+            around = self.special.finditer(text, max(m.start() - self.longest, 0), m.start() + self.longest) if self.special else ()
+            if not any(x.start() < m.start() < x.end() for x in around):
+                return m.start()
+            at = m.start() + 1
+        return len(text)
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         long = {i for i, t in enumerate(texts) if self.stable and len(t) > self.chunk_chars}

@@ -116,3 +116,32 @@ def test_empty(spark):
     out = scratch_path(spark, "t")
     write_ids(none, public_tokenizers.path("word_bpe_49k.json"), out)
     assert read_ids(spark, out).count() == 0
+
+
+def test_every_character_is_encoded_about_once():
+    """Long texts without single spaces: one word, Chinese, base 64, white space alone, special strings side by side."""
+    rng = random.Random(4)
+    n = 300_000
+    every = {"word": "x" * n, "chinese": "".join(rng.choice("的一是在不了有和人这。") for _ in range(n)), "base64": "".join(rng.choice("abcXYZ0189+/") for _ in range(n)), "white": " " * n, "special": "<|endoftext|>" * (n // 13)}
+    for name, text in every.items():
+        c = Counter(public_tokenizers.path("byte_bpe_50k.json"), 1 << 13, 256)
+        asked, ends = [], c.ends
+        c.ends = lambda t, asked=asked, ends=ends: (asked.append(len(t)), ends(t))[1]
+        got, chunks = c.spliced(text)
+        assert got == len(c.tokenizer.encode(text, add_special_tokens=False).ids), name
+        assert sum(asked) < 1.3 * len(text) and (chunks > 20) == (name in ("chinese", "base64", "special")), name
+
+
+def test_chunks_that_do_not_align_are_widened():
+    c = Counter(public_tokenizers.path("byte_bpe_50k.json"), 100, 8)
+    text, ends, refused = "some words, " * 100, c.ends, []
+
+    def other(t):
+        found = ends(t)
+        if len(refused) < 3 and len(t) < 60:  # the right chunk's region, as if it had no edge in common
+            refused.append(t)
+            return found[:0]
+        return found
+
+    c.ends = other
+    assert c.spliced(text)[0] == len(c.tokenizer.encode(text, add_special_tokens=False).ids) and len(refused) == 3
