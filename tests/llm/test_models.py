@@ -146,3 +146,23 @@ def test_copies_score_apart(spark):
 def test_parts():
     lex, _ = _lexicon()
     assert lex.part(np.array([5, 5, 9]), np.array([5, 9, 5]), np.array([0, 1, 2])).max() < lex.parts
+
+
+def test_long_words_cost_in_proportion(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(40)) for _ in range(300)]
+    sizes = (50, 1_000, 20_000, 400_000)
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learnt = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [*zip(learnt, texts), *((i, "".join(rng.choices(letters, k=n))) for i, n in zip(held, sizes))]
+    got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()}
+    per_byte = [-got[i]["score"] / n for i, n in zip(held, sizes)]
+    assert all(1.2 < x < 2.4 for x in per_byte[1:]) and per_byte[3] == pytest.approx(per_byte[2], rel=0.1)
+
+
+def test_large_counts_keep_their_odds():
+    pairs = ctx._pairs(np.array([3, 5, 0, 70_000, 1, 400_000, 200_000, 100_000], dtype=np.uint32))
+    zero, one = pairs & 0xFFFF, pairs >> 16
+    assert zero[:2].tolist() == [3, 0] and one[0] == 5 and 35_000 == one[1] and zero[2] == 1 and one[2] == 50_000
+    assert zero[3] == pytest.approx(2 * one[3], abs=2)
