@@ -264,3 +264,48 @@ def repaired_conversations(rows: DataFrame) -> DataFrame:
     nothing = none.select("conv_id", *(F.lit(0).cast("bigint").alias(c) for c in COUNTS), F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
     both = repair_report(damaged(rows)).unionByName(nothing).groupBy("conv_id").agg(*(F.max(c).alias(c) for c in [*COUNTS, "audit", "repaired_sha256"]))
     return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
+
+
+def _sql() -> str:
+    """The same in SQL, row by row: for each state the least (cost, audit) and its turns, as one text."""
+    add = lambda s, cost, edit, turn: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': {s}.t || {turn}}}"
+    none = "{'c': 1000000, 'a': '', 't': ''}"
+    own, more = r"chr(10) || role || ':' || text", "case when fault = 3 then 5 else 0 end"
+    said = {s: f"chr(10) || '{r}:' || text" for s, r in (("s2", "user"), ("s3", "assistant"))}
+    into = {"s1": [("s0", "s")], "s2": [("s0", "u"), ("s1", "u"), ("s3", "u")], "s3": [("s2", "a")]}
+    steps = {}
+    for q in ("s0", "s1", "s2", "s3"):
+        found = [add(q, 2, "D", "''")]
+        for p, initial in into.get(q, []):
+            found.append(f"case when fault in (0, 3) and left(role, 1) = '{initial}' then {add(p, more, 'K', own)} else {none} end")
+            if q in said:
+                found.append(f"case when fault in (0, 3) then {add(p, '1 + ' + more, 'R', said[q])} else {none} end")
+        steps[q] = f"list_min([{', '.join(found)}])"
+    user = "list_min([" + ", ".join(["s2", *(add(p, 5, "I", "chr(10) || 'user:'") for p in ("s0", "s1", "s3"))]) + "])"
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c >> 8, byte[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+    return f"""with recursive
+tables as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as byte),
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+hit as (select given.*, {crc} % 20 as kind from given, tables),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text
+  from hit, range(2) as copy(n) where kind <> 0 and (n = 0 or kind = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+ends as (select *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as final, row_number() over (partition by conv_id, role, text order by i) as seen, lag(role) over (partition by conv_id order by i) as before from placed),
+faults as (select *, case when final = '' then 1 when seen > 1 then 2 when final not in ('.', '!', '?') then 3 else 0 end as fault from ends),
+walk(conv_id, i, s0, s1, s2, s3) as (
+  select distinct conv_id, 0::bigint, {{'c': 0, 'a': '', 't': ''}}::struct(c bigint, a varchar, t varchar), {none}::struct(c bigint, a varchar, t varchar),
+    {{'c': 5, 'a': 'I', 't': chr(10) || 'user:'}}::struct(c bigint, a varchar, t varchar), {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}::struct(c bigint, a varchar, t varchar) from given
+  union all
+  select conv_id, i, s0, s1, s2, list_min([s3, {add('s2', 5, 'I', "chr(10) || 'assistant:'")}]) from (
+    select conv_id, i, s0, s1, {user} as s2, s3 from (
+      select w.conv_id, f.i, {steps['s0']} as s0, {steps['s1']} as s1, {steps['s2']} as s2, {steps['s3']} as s3 from walk w join faults f on w.conv_id is not distinct from f.conv_id and f.i = w.i + 1))),
+last as (select conv_id, max_by(list_min([s0, s3]), i) as s from walk group by conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+    count(*) filter (i > 1 and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal from faults group by conv_id)
+select l.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  (s).c as cost, (s).a as audit, sha256(substr((s).t, 2)) as repaired_sha256 from last l left join counts c on l.conv_id is not distinct from c.conv_id"""
+
+
+SQL = _sql()

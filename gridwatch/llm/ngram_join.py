@@ -353,3 +353,17 @@ def brute_force(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 7
                 x, y = group[a], group[b]
                 group = {d: min(x, y) if g in (x, y) else g for d, g in group.items()}
     return {d: (len(sets[d]), group[d]) for d in ids}
+
+
+SQL = """with recursive
+w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+places as (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w where len(words) > 0),
+s as (select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle from places),
+sizes as (select doc_id, count(*) as n from s group by 1),
+shares as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+one as (select a, b from shares join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+links as (select a, b from one union all select b, a from one),
+reached as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+lowest as (select a, min(b) as low from reached group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id
+from documents d left join sizes z on d.doc_id = z.doc_id left join lowest l on d.doc_id = l.a"""

@@ -11,12 +11,14 @@ import corpus_pipeline
 
 from .common import scratch_path, table
 from .context_mixing import lm_scores
+from .conversation_repair import SQL as CONVERSATION_REPAIR_SQL
 from .conversation_repair import repaired_conversations
 from .decontaminate import contaminated
 from .id_files import read_ids, write_ids
 from .language_id import language_of
 from .lexical_search import SQL as LEXICAL_SEARCH_SQL
 from .lexical_search import lexical_search
+from .ngram_join import SQL as NGRAM_JOIN_SQL
 from .ngram_join import jaccard_components
 from .packing import packed_sequences
 from .packing import piece_digests as packed_pieces
@@ -24,6 +26,7 @@ from .pieces import piece_digests
 from .quotations import conversations
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
+from .vectors import SQL as VECTORS_SQL
 from .vectors import near_duplicate_vectors
 
 
@@ -91,4 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": LEXICAL_SEARCH_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    twins = {"op2_ngram_join": NGRAM_JOIN_SQL, "op10_vectors": VECTORS_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL, "op12_conversation_repair": CONVERSATION_REPAIR_SQL}
+    return twins | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -146,3 +146,14 @@ def _incidence(a: pd.Series, b: pd.Series, pivot: int) -> tuple[np.ndarray, np.n
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
+SQL = """with recursive
+v as (select vec_id, label, embedding::double[] as e from embeddings),
+fit as (select * from v where label is not null and e is not null and not list_contains(list_transform(e, lambda x: x is null or not isfinite(x)), true) and list_contains(list_transform(e, lambda x: x <> 0), true)),
+links as (select distinct a.vec_id as a, b.vec_id as b from fit a join fit b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+reached as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+lowest as (select a, min(b) as low from reached group by a),
+counted as (select a, count(*) as n from links group by a)
+select v.vec_id, coalesce(n, 0) as n_links, least(v.vec_id, coalesce(low, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(low, v.vec_id)) as kept
+from v left join counted c on v.vec_id = c.a left join lowest l on v.vec_id = l.a"""
