@@ -5,7 +5,8 @@ Documents are rows and n-grams columns of a sparse incidence matrix; two documen
 cell where a cell can matter:
 
 * Equal rows are one class (a 128-bit digest of the sorted set), whose smallest doc_id stands for it.
-* Columns have one global order: those that many documents share come last, the others by
+* Columns have one global order: those that many documents share come last (a bit for each in a bitmap of a
+  checked size; columns that meet in a bit move together, and any order is right), the others by
   hash. A partner must share one of a row's first ``n - ceil(percent * n / 100) + 1`` columns, so only
   those entries say which cells are not zero (size-derived bound), and a cell is dropped when the set sizes, or what is
   left after the shared column in both rows, can't reach the overlap needed.
@@ -18,11 +19,16 @@ cell where a cell can matter:
   every entry of a column meets one pivot entry (linear in the entries). Linked rows become components; the pivots
   leave their columns, as all their cells have been seen, and columns within one component are done. What is left
   are columns of rows that share it and still are in many components: a block product inside the tasks compares
-  all rows of different components there by size and bitmap, and only cells that may link leave a task. Large
+  all rows of different components there by size, place and bitmap, and only cells that may link leave a task. Large
   columns are dealt out as pairs of blocks of ``BLOCK`` rows.
+* The first order knows a column as frequent only where one task holds it twice. After the first round, rows left in a
+  column of more than ``OFTEN`` rows and several components are therefore ordered anew, by exact counts of all of their columns
+  over all tasks. A passage that they share then stands late in every row, where too little is left after it to reach the
+  overlap needed.
 
 A pair with enough overlap shares an early column, and there it is in one component, met as a pivot's cell, or
-compared in the last step: no link between components can be missed.
+compared in the last step; where its column had many rows, that happens in the new order, in which the pair
+shares an early column as well. No link between components can be missed.
 
 Null or empty texts have an empty set and link with nothing, as do rows with a null doc_id; fewer words
 than ``k`` are one shingle. Rows that repeat a doc_id are one document with links of each of its texts.
@@ -36,6 +42,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -44,8 +51,10 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, chunks, shingles, stored
 from .graph import components
 
-#: Columns that are ordered last: the most frequent ones, at most so many. The order decides the work, not the result.
-FREQUENT_COLUMNS = 1 << 18
+#: Rows of a column beyond which it is ordered last. The order decides the work, not the result.
+OFTEN = 8
+#: Bits of the bitmap of such columns, least and most (128 MB): a power of two, 16 for each column up to there.
+LATE_BITS = (1 << 20, 1 << 30)
 #: Bits of a row's parity bitmap, at least; longer rows take a power of two over their size.
 PARITY_BITS = 1024
 #: Rows of a block of a large column in the last step.
@@ -119,12 +128,54 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def _entries(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def late_bitmap(columns: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap with the bit of each ``col`` set; its pages are made in the tasks."""
+    least, most = LATE_BITS
+    bits = min(max(1 << (16 * columns.count()).bit_length(), least), most)
+    page = 1 << 16
+    slots = columns.select(F.col("col").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct().withColumn("page", F.shiftright("slot", 16))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(page, dtype=np.uint8)
+        flags[part["slot"].to_numpy() & (page - 1)] = 1
+        return pd.DataFrame({"page": part["page"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slots.groupBy("page").applyInPandas(run, "page bigint, bits binary").toLocalIterator():
+        out[r["page"] * page // 8 :][: page // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def is_late(bitmap: np.ndarray, s: np.ndarray) -> np.ndarray:
+    slot = s & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _counts(docs: DataFrame, k: int, flush: int = 4_000_000) -> DataFrame:
+    """``col, n``: rows of each column over all tasks, summed within the tasks first; equal sets of a task are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
+        for _, sets in chain(_sets(batches, k), [(None, None)]):
+            for s in sets or []:
+                if len(s) and (key := _digest(s)) not in seen:
+                    seen.add(key)
+                    held.append(s)
+                    size += len(s)
+            if held and (sets is None or size > flush):
+                values, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["col", "n"])
+                held, size = [], 0
+
+    return _texts(docs).mapInArrow(run, "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n"))
+
+
+def _entries(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFrame:
     """``col, doc, n, pos``: the first columns of each row, once for each distinct set of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, seen = shared.value, set()
+        bitmap, seen = shared.value, set()
         for ids, sets in _sets(batches, k):
             cols, doc, size, pos = [], [], [], []
             for d, s in zip(ids.to_pylist(), sets, strict=True):
@@ -133,11 +184,8 @@ def _entries(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                 seen.add(key)
                 n = len(s)
                 first = n - -(-percent * n // 100) + 1
-                if len(late):
-                    at = np.searchsorted(late, s)
-                    at[at == len(late)] = 0
-                    is_late = late[at] == s
-                    s = np.concatenate((s[~is_late], s[is_late]))
+                late = is_late(bitmap, s)
+                s = np.concatenate((s[~late], s[late]))
                 cols.append(s[:first])
                 doc.append(np.full(first, d))
                 size.append(np.full(first, n, dtype=np.int32))
@@ -175,6 +223,22 @@ def _cells(met: DataFrame, percent: int) -> DataFrame:
     return met.where("comp <> p_comp").where(_reachable("n", "pos", "p_n", "p_pos", percent)).select(F.col("doc").alias("a"), F.col("p_doc").alias("b")).distinct()
 
 
+def _reordered(docs: DataFrame, entries: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """The entries, those of columns with more than ``OFTEN`` rows in several components replaced: their rows are ordered
+    anew by exact counts. Columns of the new order have names of their own."""
+    spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low <> high")
+    spread = stored(spread.select("col", "k"), "spread")
+    wide = stored(entries.join(spread.where(F.col("k") > OFTEN), "col").select(F.col("doc").alias("doc_id")).distinct(), "wide")
+    n = wide.count()
+    if not n:
+        return entries
+    part = stored(_texts(docs).join(F.broadcast(wide) if n <= BROADCAST_IDS else wide, "doc_id"), "wide-texts")
+    late = late_bitmap(stored(_counts(part, k).where(F.col("n") > OFTEN).select("col"), "late"))
+    again = _shared_columns(_entries(part, k, percent, late)).join(own.withColumnRenamed("doc_id", "doc"), "doc")
+    narrow = entries.join(spread.where(F.col("k") <= OFTEN).select("col"), "col")
+    return narrow.unionByName(again.withColumn("col", F.xxhash64("col")))
+
+
 def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Cells between rows of different components of what is left of the columns, by size, place and bitmap."""
     spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -295,9 +359,8 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links, itself included)."""
     sets = stored(shingle_sets(docs, k), "sets")
-    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n")).where("n > 24")
-    often = often.orderBy(F.desc("n"), "col").limit(FREQUENT_COLUMNS).select("col")
-    frequent = np.sort(np.array([r["col"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+    often = sets.select(F.explode("frequent").alias("f")).groupBy("f.col").agg(F.sum("f.n").alias("n"))
+    late = late_bitmap(stored(often.where(F.col("n") > OFTEN).select("col"), "often"))
     sets = sets.where("set_key is not null")
     keyed = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_key")
     reps = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
@@ -307,11 +370,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: i
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(ties.select("a").union(ties.select("b")).distinct(), "a", "left_semi").union(ties)
     links = stored(links, "links")
-    labels, entries = components(links), _shared_columns(_entries(docs, k, percent, frequent)).withColumn("comp", F.col("doc"))
+    labels, entries = components(links), _shared_columns(_entries(docs, k, percent, late)).withColumn("comp", F.col("doc"))
+    own = classes.select("doc_id", F.col("doc_id").alias("comp")).distinct()
     for salt in range(rounds + 1):
         if salt:
             own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
             entries = entries.drop("comp").join(own.withColumnRenamed("doc_id", "doc"), "doc")
+        if salt == min(1, rounds):  # the first round has told most groups of copies from rows that only share a passage
+            entries = _reordered(docs, entries, own, k, percent)
         if salt < rounds:
             met = _round(entries, salt)
             entries = met.where("doc <> p_doc").select("col", "doc", "n", "pos", "comp")

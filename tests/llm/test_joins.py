@@ -46,7 +46,8 @@ def test_jaccard_components(spark, seed):
 def test_jaccard_in_blocks_and_rounds(spark, monkeypatch):
     """Frequent columns and the shuffled fetch of texts give the same; repeated and null ids don't break it."""
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 3)
-    monkeypatch.setattr(ngram_join, "FREQUENT_COLUMNS", 50)
+    monkeypatch.setattr(ngram_join, "OFTEN", 2)
+    monkeypatch.setattr(ngram_join, "LATE_BITS", (1 << 16, 1 << 16))
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     rows = _texts(9, 200)
     docs = spark.createDataFrame([*rows, (None, rows[20][1]), rows[15], rows[15]], "doc_id long, text string").repartition(3)
@@ -57,6 +58,39 @@ def test_jaccard_in_blocks_and_rounds(spark, monkeypatch):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def _cells_of(monkeypatch, docs, **kw):
+    """Result and the number of cells whose overlaps were asked for."""
+    asked, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda d, r, c, cells, *a: asked.append(cells.count()) or verified(d, r, c, cells, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, **kw).collect()}
+    monkeypatch.setattr(ngram_join, "_verified", verified)
+    return got, sum(asked)
+
+
+def test_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """Documents that share most of their words but link with nothing, each in a task of its own: cells grow like the documents."""
+    rng = random.Random(4)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(1200)]
+    cells = {}
+    for n in (24, 48):
+        rows = [(i, " ".join([f"u{i}.{j}" for j in range(rng.randrange(280, 320))] + shared)) for i in range(n)]
+        rows += [(n + i, rows[i][1] + " a few words more " * (i + 1)) for i in range(3)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+        got, cells[n] = _cells_of(monkeypatch, docs)
+        assert got == brute_force(rows) and [got[n + i][1] for i in range(3)] == [0, 1, 2]
+    assert cells[24] < 6 * 27 and cells[48] < 6 * 51
+
+
+def test_late_columns(spark):
+    rng = np.random.default_rng(5)
+    cols = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000))
+    bitmap = ngram_join.late_bitmap(spark.createDataFrame([(int(c),) for c in cols], "col long"))
+    assert ngram_join.is_late(bitmap, cols.view(np.uint64)).all() and len(bitmap) == ngram_join.LATE_BITS[0] // 8
+    other = np.setdiff1d(rng.integers(-(2**63), 2**63 - 1, 3000), cols).view(np.uint64)
+    assert ngram_join.is_late(bitmap, other).mean() < 0.02
+    assert not ngram_join.late_bitmap(spark.createDataFrame([], "col long")).any()
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in (0, 1, 5, 40, 60, 200)]
