@@ -166,3 +166,22 @@ def test_large_counts_keep_their_odds():
     zero, one = pairs & 0xFFFF, pairs >> 16
     assert zero[:2].tolist() == [3, 0] and one[0] == 5 and 35_000 == one[1] and zero[2] == 1 and one[2] == 50_000
     assert zero[3] == pytest.approx(2 * one[3], abs=2)
+
+
+@pytest.mark.parametrize("at", [0, 5])
+def test_every_rare_word_teaches(spark, at):
+    """The byte weights are those of a mixer that learns from all training words, of every hash class, and from no others."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdef", k=rng.randint(2, 6))).encode() for _ in range(3000)})
+    rare = spark.createDataFrame([(w, 1 if i % 5 else 0) for i, w in enumerate(words)], "word binary, n_train long")
+    rare = rare.where(F.pmod(F.xxhash64("word"), F.lit(16)) == at if at else F.lit(True))
+    learnt = [bytes(r["word"]) for r in rare.where("n_train > 0").orderBy(F.xxhash64("word"), "word").collect()]
+    table = np.random.default_rng(1).integers(1, 50, ctx._SLOTS).astype(np.uint32) * np.uint32(65537)
+    want = ctx.Mixer(4)
+    for s in range(0, len(learnt), 2000):
+        e = ctx.Letters(learnt[s : s + 2000])
+        for k in range(8):
+            want.learn(*ctx._letter_inputs(e, k, table, True))
+    got = ctx.letter_mixer(rare.repartition(5), table)
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.map, want.map, atol=1e-4)
+    assert not np.allclose(got.weights, ctx.Mixer(4).weights, atol=1e-4)
