@@ -185,3 +185,10 @@ def test_every_rare_word_teaches(spark, at):
     got = ctx.letter_mixer(rare.repartition(5), table)
     assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.map, want.map, atol=1e-4)
     assert not np.allclose(got.weights, ctx.Mixer(4).weights, atol=1e-4)
+
+
+def test_costs_by_document():
+    doc = np.array([0, 0, 3, 3, 3, 9, 32_767])
+    docs, costs = ctx._by_document(doc, np.array([1, 70_000, 5, 0, 2, 0, 4]))
+    low, high = ctx._unpacked(costs, 2)
+    assert ctx._unpacked_docs(docs)[0].tolist() == [0, 3, 9, 32_767] and (low | high << 16).tolist() == [70_001, 7, 0, 4]
