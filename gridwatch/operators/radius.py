@@ -99,15 +99,16 @@ def cells(df: DataFrame, key: str, vector: str, radius: float, leaf: int = LEAF,
     return kept(out.select("cell", "id", "v", "member"), "cells")
 
 
-def in_cells(rows: DataFrame, found: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """``found(members, rows)`` of every cell, in blocks of about ``block`` rows of each side; a large cell is many groups."""
-    size = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("member").cast("bigint")) / block)).alias("mi"), F.ceil(F.count("*") / block).alias("mj"))
+def in_cells(rows: DataFrame, found: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, asks: str = "member") -> DataFrame:
+    """``found(members, rows)`` of every cell, in blocks of about ``block`` rows of each side; a large cell is many groups.
+    ``asks``: which rows are the members that are asked about; cells without any make no group."""
+    size = rows.groupBy("cell").agg(F.ceil(F.sum(F.col(asks).cast("bigint")) / block).alias("mi"), F.ceil(F.count("*") / block).alias("mj")).where("mi > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
     sized = rows.join(size, "cell")
-    left = sized.where("member").withColumn("i", own("mi", 1)).withColumn("j", every("mj")).withColumn("side", F.lit(0))
+    left = sized.where(asks).withColumn("i", own("mi", 1)).withColumn("j", every("mj")).withColumn("side", F.lit(0))
     right = sized.withColumn("j", own("mj", 2)).withColumn("i", every("mi")).withColumn("side", F.lit(1))
-    both = left.unionByName(right).drop("mi", "mj", "member")
+    both = left.unionByName(right).drop("mi", "mj", "member", asks)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         p, q = part[part["side"] == 0], part[part["side"] == 1]
