@@ -22,7 +22,7 @@ cell where a cell can matter:
   all rows of different components there by size, place and bitmap, and only cells that may link leave a task. Large
   columns are dealt out as pairs of blocks of ``BLOCK`` rows.
 * The first order knows a column as frequent only where one task holds it twice. After the first round, rows left in a
-  column of more than ``OFTEN`` rows and several components are therefore ordered anew, by exact counts of all of their columns
+  column of several components and more than ``OFTEN`` rows that such columns fill are therefore ordered anew, by exact counts of all of their columns
   over all tasks. A passage that they share then stands late in every row, where too little is left after it to reach the
   overlap needed.
 
@@ -53,6 +53,8 @@ from .graph import components
 
 #: Rows of a column beyond which it is ordered last. The order decides the work, not the result.
 OFTEN = 8
+#: Share of a row's first columns, one in so many, from which on such columns fill it.
+FILLED = 4
 #: Bits of the bitmap of such columns, least and most (128 MB): a power of two, 16 for each column up to there.
 LATE_BITS = (1 << 20, 1 << 30)
 #: Bits of a row's parity bitmap, at least; longer rows take a power of two over their size.
@@ -224,18 +226,24 @@ def _cells(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, entries: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """The entries, those of columns with more than ``OFTEN`` rows in several components replaced: their rows are ordered
-    anew by exact counts. Columns of the new order have names of their own."""
+    """The entries, those of columns with more than ``OFTEN`` filled rows in several components replaced: all rows of such a
+    column are ordered anew by exact counts, so a pair meets in the new order or in a column that stays. A row is filled where columns of more than ``OFTEN`` rows
+    are one in ``FILLED`` of its first columns; two others share too little to get past the bitmaps, as a rule. Columns of the new order have names of their own."""
     spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low <> high")
     spread = stored(spread.select("col", "k"), "spread")
-    wide = stored(entries.join(spread.where(F.col("k") > OFTEN), "col").select(F.col("doc").alias("doc_id")).distinct(), "wide")
+    often = stored(entries.join(spread.where(F.col("k") > OFTEN).select("col"), "col").select("col", "doc", "n"), "often-entries")
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    filled = often.groupBy("doc", "n").agg(F.count("*").alias("w")).where(FILLED * F.col("w") >= first).select("doc").distinct()
+    moved = often.join(filled, "doc", "left_semi").groupBy("col").agg(F.count("*").alias("f")).where(F.col("f") > OFTEN)
+    moved = stored(moved.select("col"), "moved")
+    wide = stored(often.join(moved, "col").select(F.col("doc").alias("doc_id")).distinct(), "wide")
     n = wide.count()
     if not n:
         return entries
     part = stored(_texts(docs).join(F.broadcast(wide) if n <= BROADCAST_IDS else wide, "doc_id"), "wide-texts")
     late = late_bitmap(stored(_counts(part, k).where(F.col("n") > OFTEN).select("col"), "late"))
     again = _shared_columns(_entries(part, k, percent, late)).join(own.withColumnRenamed("doc_id", "doc"), "doc")
-    narrow = entries.join(spread.where(F.col("k") <= OFTEN).select("col"), "col")
+    narrow = entries.join(spread.select("col"), "col").join(moved, "col", "left_anti")
     return narrow.unionByName(again.withColumn("col", F.xxhash64("col")))
 
 

@@ -200,3 +200,19 @@ def test_quotations(spark):
     chain = spark.createDataFrame([(1, i, "user", (f"> message {i - 1}\n" if i else "") + f"message {i}") for i in range(70)], "conv_id long, turn long, role string, text string")
     assert {r.turn: r.depth for r in reply_ordered(chain).collect()} == {i: i for i in range(70)}
     assert reply_ordered(table.limit(0)).count() == 0
+
+
+def test_a_shared_line_orders_no_rows_anew(spark, monkeypatch):
+    """Rows that share a line only stay in their order, however many they are; rows that shared passages fill don't."""
+    rng = random.Random(6)
+    line, passage = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(n)) for c, n in (("s", 24), ("p", 300)))
+    own = lambda i, n: " ".join(f"u{i}.{j}" for j in range(n))
+    again, counts = [], ngram_join._counts
+    monkeypatch.setattr(ngram_join, "_counts", lambda part, k: again.extend(r.doc_id for r in part.collect()) or counts(part, k))
+    rows = [(i, f"{own(i, 200)} {line}") for i in range(30)] + [(30, rows_like := f"{own(0, 198)} {line}"), (31, rows_like + " x")]
+    docs = lambda rows: spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows)).collect()}
+    assert got == brute_force(rows) and got[31][1] == 0 and again == []
+    rows += [(100 + i, f"{own(100 + i, 80)} {passage}") for i in range(15)] + [(200, f"{own(200, 60)} {line} {passage}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows)).collect()}
+    assert got == brute_force(rows) and set(range(100, 115)) & set(again)
