@@ -154,7 +154,8 @@ def is_late(bitmap: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _counts(docs: DataFrame, k: int, flush: int = 4_000_000) -> DataFrame:
-    """``col, n``: rows of each column over all tasks, summed within the tasks first; equal sets of a task are one row."""
+    """``col, n``: rows of each column over all tasks that hold it twice, summed within the tasks first; equal sets of a
+    task are one row. Rows that share columns come in one task; a column that tasks hold once each stays uncounted, which costs work only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -166,7 +167,7 @@ def _counts(docs: DataFrame, k: int, flush: int = 4_000_000) -> DataFrame:
                     size += len(s)
             if held and (sets is None or size > flush):
                 values, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["col", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["col", "n"])
                 held, size = [], 0
 
     return _texts(docs).mapInArrow(run, "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n"))
@@ -236,17 +237,25 @@ def _reordered(docs: DataFrame, entries: DataFrame, own: DataFrame, k: int, perc
     filled = often.groupBy("doc", "n").agg(F.count("*").alias("w")).where(FILLED * F.col("w") >= first).select("doc").distinct()
     moved = often.join(filled, "doc", "left_semi").groupBy("col").agg(F.count("*").alias("f")).where(F.col("f") > OFTEN)
     moved = stored(moved.select("col"), "moved")
-    wide = stored(often.join(moved, "col").select(F.col("doc").alias("doc_id")).distinct(), "wide")
+    wide = stored(often.join(moved, "col").groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.xxhash64("col")).alias("near")), "wide")
     n = wide.count()
     if not n:
         return entries
-    part = stored(_texts(docs).join(F.broadcast(wide) if n <= BROADCAST_IDS else wide, "doc_id"), "wide-texts")
+    part = _near_each_other(_texts(docs).join(F.broadcast(wide) if n <= BROADCAST_IDS else wide, "doc_id"), wide)
     late = late_bitmap(stored(_counts(part, k).where(F.col("n") > OFTEN).select("col"), "late"))
     again = _shared_columns(_entries(part, k, percent, late)).join(own.withColumnRenamed("doc_id", "doc"), "doc")
     narrow = entries.join(spread.select("col"), "col").join(moved, "col", "left_anti")
     return narrow.unionByName(again.withColumn("col", F.xxhash64("col")))
 
 
+def _near_each_other(texts: DataFrame, wide: DataFrame) -> DataFrame:
+    """The texts, those of rows whose least moved column is the same in one task, or in blocks of about ``BLOCK`` rows."""
+    large = wide.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = texts.join(F.broadcast(large), "near", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return stored(dealt.repartition(parts, "near", "block").select("doc_id", "text"), "wide-texts")
+
+
 def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Cells between rows of different components of what is left of the columns, by size, place and bitmap."""
     spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

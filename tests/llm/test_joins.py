@@ -81,6 +81,18 @@ def test_shared_passage_makes_no_pairs(spark, monkeypatch):
     assert cells[24] < 6 * 27 and cells[48] < 6 * 51
 
 
+def test_columns_of_one_row_are_not_counted(spark, monkeypatch):
+    """Rows that share a passage, one a task, are counted in one task: their own columns don't leave it, those of the passage do."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(i, " ".join(f"u{i}.{j}" for j in range(80)) + " " + passage) for i in range(15)]
+    again, counts = [], ngram_join._counts
+    monkeypatch.setattr(ngram_join, "_counts", lambda part, k: again.append(counts(part, k).collect()) or counts(part, k))
+    got = jaccard_components(spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_force(rows)
+    (cols,) = again
+    assert len(cols) == 296 and {r.n for r in cols} == {14}  # the pivot of the first round has met all of them
+
+
 def test_late_columns(spark):
     rng = np.random.default_rng(5)
     cols = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000))
