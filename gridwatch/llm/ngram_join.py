@@ -19,8 +19,9 @@ cell where a cell can matter:
   every entry of a column meets one pivot entry (linear in the entries). Linked rows become components; the pivots
   leave their columns, as all their cells have been seen, and columns within one component are done. What is left
   are columns of rows that share it and still are in many components: a block product inside the tasks compares
-  all rows of different components there by size, place and bitmap, and only cells that may link leave a task. Large
-  columns are dealt out as pairs of blocks of ``BLOCK`` rows.
+  all rows of different components there by size, place and bitmap, and only cells that may link leave a task. Its first
+  passes let a few cells of each row leave, which join what is similar; the last takes every other cell between the
+  components that remain, where large columns are dealt out as pairs of blocks of ``BLOCK`` rows.
 * The first order knows a column as frequent only where one task holds it twice. After the first round, rows left in a
   column of several components and more than ``OFTEN`` rows that such columns fill are therefore ordered anew, by exact counts of all of their columns
   over all tasks. A passage that they share then stands late in every row, where too little is left after it to reach the
@@ -61,6 +62,8 @@ LATE_BITS = (1 << 20, 1 << 30)
 PARITY_BITS = 1024
 #: Rows of a block of a large column in the last step.
 BLOCK = 1000
+#: Partners of a row in a column that the passes of the last step check, inside a block; the last pass takes all in all blocks.
+PARTNERS = (4, 16, None)
 #: Documents whose texts are fetched by a broadcast of their ids; beyond it by a shuffled join.
 BROADCAST_IDS = 200_000
 
@@ -256,15 +259,17 @@ def _near_each_other(texts: DataFrame, wide: DataFrame) -> DataFrame:
     return stored(dealt.repartition(parts, "near", "block").select("doc_id", "text"), "wide-texts")
 
 
-def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Cells between rows of different components of what is left of the columns, by size, place and bitmap."""
+def _left_cells(entries: DataFrame, rows: DataFrame, percent: int, partners: int | None) -> tuple[DataFrame, DataFrame, bool]:
+    """What is left of the columns, cells between its rows of different components by size, place and bitmap, and whether
+    there are others. With a number of ``partners``, rows meet within one block of their column, as many cells for a row at
+    most: those that link join groups of similar rows by a number of cells that grows like the rows."""
     spread = entries.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     open_ = stored(entries.join(spread.where("low <> high").select("col", "blocks"), "col"), "open-columns")
     folded = F.substring("parity", 1, PARITY_BITS // 8)  # longer bitmaps are compared afterwards, whole
     short = rows.where(F.length("parity") == PARITY_BITS // 8).groupBy(F.col("doc_id").alias("doc")).agg(F.min(folded).alias("bits"), F.count("*").alias("k"))
     bits = open_.select("doc").distinct().join(short.where("k = 1").select("doc", "bits"), "doc")
     dealt = open_.join(bits, "doc", "left").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if partners is None else F.col("own"))
     dealt = dealt.select("col", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n", "pos", "comp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +284,10 @@ def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                 held = t.slice(int(cuts[-1]) if len(cuts) else 0)
             ends = cuts if b is not None else [*cuts, t.num_rows]
             for x, y in zip([0, *ends], ends, strict=False):
-                pairs = set(_compared(t.slice(x, y - x), percent)) - seen
+                found = list(_compared(t.slice(x, y - x), percent, partners))
+                if None in found:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+                pairs = set(found) - seen - {None}
                 if len(seen) < 1_000_000:
                     seen |= pairs
                 if pairs:
@@ -287,17 +295,21 @@ def _left_cells(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
 
     parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, "col", "i", "j").sortWithinPartitions("col", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    cells = dealt.repartition(parts, "col", "i", "j").sortWithinPartitions("col", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    cells = stored(cells, "left-cells")
+    others = partners is not None and (cells.where("a is null").limit(1).count() or open_.where("blocks > 1").limit(1).count()) > 0
+    return open_.drop("blocks"), cells.where("a is not null"), others
 
 
-def _compared(t: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of documents of one column's block, or two, whose overlap may be enough."""
+def _compared(t: pa.RecordBatch, percent: int, partners: int | None) -> Iterator[tuple[int, int] | None]:
+    """Pairs of documents of one column's block, or two, whose overlap may be enough; None where a row has more ``partners``."""
     i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
     own, doc, n, pos, comp = (t.column(c).to_numpy() for c in (3, 4, 5, 6, 7))
     known = pc.is_valid(t.column(8)).to_numpy(zero_copy_only=False)
     bits = np.zeros((len(doc), PARITY_BITS // 64), dtype=np.uint64)
     bits[known] = np.frombuffer(b"".join(t.column(8).drop_null().to_pylist()), dtype=np.uint64).reshape(-1, PARITY_BITS // 64)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    given = np.zeros(len(doc), dtype=np.int64)
     for s in range(0, len(left), 128):
         x = left[s : s + 128, None]
         na, nb = n[x].astype(np.int64), n[right].astype(np.int64)
@@ -310,7 +322,17 @@ def _compared(t: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int]]:
             a, b = x[p, 0], right[q]
             apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
             keep = ~(known[a] & known[b]) | ((100 + percent) * (n[a].astype(np.int64) + n[b] - apart) >= 2 * percent * (n[a].astype(np.int64) + n[b]))
-            yield from zip(np.minimum(doc[a], doc[b])[keep].tolist(), np.maximum(doc[a], doc[b])[keep].tolist(), strict=True)
+            a, b = a[keep], b[keep]
+            if partners is not None and len(a):
+                by = np.argsort(b, kind="stable")
+                a, b = a[by], b[by]
+                first = np.flatnonzero(np.diff(b, prepend=-1))
+                rank = given[b] + np.arange(len(b)) - np.repeat(first, np.diff(first, append=len(b)))
+                given[b] = rank + 1  # of a row that repeats, the last counts
+                a, b, had = a[rank < partners], b[rank < partners], len(b)
+                if len(b) < had:
+                    yield None
+            yield from zip(np.minimum(doc[a], doc[b]).tolist(), np.maximum(doc[a], doc[b]).tolist(), strict=True)
 
 
 def _close(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -389,7 +411,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: i
     links = stored(links, "links")
     labels, entries = components(links), _shared_columns(_entries(docs, k, percent, late)).withColumn("comp", F.col("doc"))
     own = classes.select("doc_id", F.col("doc_id").alias("comp")).distinct()
-    for salt in range(rounds + 1):
+    others = True
+    for salt in range(rounds + len(PARTNERS)):
+        if not others:
+            break
         if salt:
             own = stored(_labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("comp")), "own")
             entries = entries.drop("comp").join(own.withColumnRenamed("doc_id", "doc"), "doc")
@@ -400,15 +425,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: i
             entries = met.where("doc <> p_doc").select("col", "doc", "n", "pos", "comp")
             cells = _cells(met, percent)
         else:
-            cells = _left_cells(entries, rows, percent)
+            entries, cells, others = _left_cells(entries, rows, percent, PARTNERS[salt - rounds])
         more = stored(_verified(docs, rows, classes, cells, k, percent), "more-links")
         if more.limit(1).count():
-            links = stored(links.union(more), "links")
-            labels = components(links)
+            labels = _joined(labels, more)
     own = _labelled(classes, labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return sets.select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only what these join is labelled anew, components as nodes."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    top = components(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    up = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return stored(moved.union(top.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
+
+
 def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's component: that of its class, or the class itself where nothing links to it."""
     return classes.join(labels, classes["rep"] == labels["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -81,6 +81,21 @@ def test_shared_passage_makes_no_pairs(spark, monkeypatch):
     assert cells[24] < 6 * 27 and cells[48] < 6 * 51
 
 
+def test_near_copies_make_no_pairs_in_the_last_step(spark, monkeypatch):
+    """Every two of the rows link: the cells that leave the last step, and the links, grow like the rows."""
+    rng = random.Random(8)
+    base, cells, links = [f"b{i}" for i in range(120)], {}, {}
+    joined = ngram_join._joined
+    for n in (60, 120):
+        rows = [(i, " ".join(base[: (at := rng.randrange(120))] + [f"own{i}"] + base[at + 1 :])) for i in range(n)]
+        found = []
+        monkeypatch.setattr(ngram_join, "_joined", lambda labels, more: found.append(more.count()) or joined(labels, more))  # noqa: B023
+        got, cells[n] = _cells_of(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rounds=0)
+        assert got == brute_force(rows) and {c for _, c in got.values()} == {0}
+        links[n] = sum(found)
+    assert cells[60] < 12 * 60 and cells[120] < 12 * 120 and links[120] < 12 * 120, (cells, links)
+
+
 def test_columns_of_one_row_are_not_counted(spark, monkeypatch):
     """Rows that share a passage, one a task, are counted in one task: their own columns don't leave it, those of the passage do."""
     passage = " ".join(f"p{i}" for i in range(300))
