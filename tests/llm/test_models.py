@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,44 @@ def test_costs_by_document():
     docs, costs = ctx._by_document(doc, np.array([1, 70_000, 5, 0, 2, 0, 4]))
     low, high = ctx._unpacked(costs, 2)
     assert ctx._unpacked_docs(docs)[0].tolist() == [0, 3, 9, 32_767] and (low | high << 16).tolist() == [70_001, 7, 0, 4]
+
+
+def test_words_split_in_columns():
+    texts = ["", None, " \t\r\n\x0b\x0c", "a", "  A b\x0bB  ", "É é É x \x1c\x85Z", "x" * 5000 + " y", "\n\nB\n"]
+    words, n = ctx._split(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert n.tolist() == list(map(len, want)) and words.to_pylist() == sum(want, [])
+    words, n = ctx._split(pa.array([None, ""], pa.string()))
+    assert n.tolist() == [0, 0] and len(words) == 0
+
+
+def test_word_counts_take_less_than_counting_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    texts = [" ".join(words[(rng.pareto(1, 500) * 20).astype(int) % 30_000]) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    class Docs:  # keeps the function that Spark would run
+        __getitem__ = lambda self, name: F.lit(name)
+        select = lambda self, *a: self
+        groupBy = lambda self, *a: self
+        agg = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    run, plain = ctx.word_counts(Docs()).run, Counter()
+    took, one = [], []
+    for _ in range(3):
+        began = time.process_time()
+        got = list(run(iter([batch])))
+        took.append(time.process_time() - began)
+        began = time.process_time()
+        plain = Counter()
+        for t in texts:
+            plain.update(t.encode().lower().split())
+        one.append(time.process_time() - began)
+    counts = {w: n for b in got for w, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
+    assert counts == plain | {ctx.END: 1500}
+    assert min(took) < 0.8 * min(one)
