@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, as_bytes, chunks
+from .common import BLOCK_BYTES, as_bytes, chunks, release, small_batches
 
 #: Rows of each language, and rows in all, that the fit uses.
 SAMPLE, SAMPLE_ROWS = 1200, 20_000
@@ -145,6 +145,7 @@ def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 def language_of(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every document."""
+    small_batches(docs.sparkSession)
     model = Model(sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -152,6 +153,7 @@ def language_of(docs: DataFrame) -> DataFrame:
         for b in batches:
             g, p = _predicted(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
+        release()
 
     out = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -160,6 +162,7 @@ def language_of(docs: DataFrame) -> DataFrame:
 
 def without_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language isn't rejected, with all of their columns. Only texts go to Python workers."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs)))
 
     @F.arrow_udf("boolean")
@@ -167,5 +170,6 @@ def without_rejected(docs: DataFrame) -> DataFrame:
         for texts in parts:
             g, p = _predicted(texts, shared.value)
             yield pa.array([x != "und" for x in g], pa.bool_()) if not g else pa.array((np.array(g) != "und") & (p >= shared.value.least))
+        release()
 
     return docs.where(known(docs["text"].cast("string")))

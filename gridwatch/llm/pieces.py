@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, small_batches
 from .units import UnitTable
 
 MARK = "▁"
@@ -83,6 +83,8 @@ def pieces(path: str) -> Pieces:
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every document: the ids and what they decode to."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for ids, texts in _parts(batches):
@@ -99,6 +101,8 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, from its ids and decoded text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, hexed = pieces(path), lambda b: hashlib.sha256(b).hexdigest()
         for ids, texts in _parts(batches):

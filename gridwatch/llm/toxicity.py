@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, BLOCK_WORDS, Words, as_bytes, chunks, mix
+from .common import ALPHANUMERIC, BLOCK_WORDS, Words, as_bytes, chunks, mix, release, small_batches
 
 #: Labelled rows of each class that the fit may use, and words of a row.
 SAMPLE, SAMPLE_WORDS = 2500, 5000
@@ -249,11 +249,13 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), shared.value))], names=["doc_id", "score"])
+        release()
 
     scored = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -269,11 +271,13 @@ def _scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score under ``least``, with all of their columns. Only texts go to Python workers."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels)))
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array(_scores(texts, shared.value))
+        release()
 
     return docs.where(score(docs["text"].cast("string")) < least)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable
-from contextlib import suppress
 from typing import Any
 
+from .common import release
+
 
 class UnitTable(dict):
     """Encodes each distinct unit once. ``limit`` bounds memory in bytes, as ``size`` estimates it for a unit and
@@ -37,11 +37,10 @@ class UnitTable(dict):
             self.update(zip(order, self.encode(order), strict=True))
 
     def release(self) -> None:
-        """Give the memory back at the end of a task: a worker may run other operators next."""
+        """Give the memory back at the end of a task."""
         self.clear()
         self.held, self.long = 0, []
-        with suppress(OSError, AttributeError):  # only where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     def _size(self, units: set[str]) -> int:
         return len(units) * self.overhead + self.factor * sum(map(len, units))

@@ -3,11 +3,14 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridwatch.llm.language_id import language_of
 from gridwatch.llm.ngram_join import brute_force
+from gridwatch.llm.pieces import encode_pieces
 from gridwatch.llm.toxicity import toxicity_scores
 
 PARTS = {"en": ["th", "er", "ing", "on", "the", "ed", "and"], "de": ["sch", "ung", "ein", "ß", "ü", "keit", "der"]}
@@ -55,3 +58,18 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == want
     for d, r in got.items():
         assert r.ids == model.encode(texts[d]) and r.decoded == model.decode(r.ids)
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """32 MB of texts in one partition; a value that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefg "), 1000).alias("text"), F.lit("en").alias("lang"))
+    sizes = lambda: [r.n for r in docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n bigint").collect()]
+    spark.conf.unset(key)
+    assert max(sizes()) > 20 << 20
+    encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(sizes()) < 5 << 20 and sum(sizes()) > 30 << 20
+    spark.conf.set(key, "8m")
+    encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert spark.conf.get(key) == "8m"
+    spark.conf.unset(key)
